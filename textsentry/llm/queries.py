@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsentry._ship import ship
-from textsentry.llm import langid
-from textsentry.llm._run import remainder, table
+from textsentry.llm import langid, quality_rules, url_rules
+from textsentry.llm._run import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,3 +30,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = langid.fit_dictionaries(docs.where(~held_out))
     return langid.identify(docs, model, keep=("doc_id", held_out.alias("held_out")))
+
+
+#: Fixed by the contract of the query: verdict, host, start of the path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge(pages, URL_RULES, url_rules.mine(pages, bad))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = written(quality_rules.measured(table(spark, sf_dir, "documents")), "quality")
+    out = quality_rules.judged(measures)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
