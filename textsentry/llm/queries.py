@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsentry._ship import ship
-from textsentry.llm import langid, quality_rules, url_rules
+from textsentry.llm import langid, quality_classifier, quality_rules, url_rules
 from textsentry.llm._run import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    texts, classes = quality_classifier.labelled_sample(docs, labels, "quality")
+    model = quality_classifier.train(texts, np.array(classes, np.int64))
+    return quality_classifier.scored(docs, model, keep=("doc_id", held_out.alias("held_out")))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -40,7 +51,10 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels")
-    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    # a page shows the document whose number its path carries
+    number = F.regexp_extract(url_rules.path_of(F.col("url")), "^/[^/]+/([0-9]{1,18})", 1)
+    shown = pages.select("page_id", number.try_cast("bigint").alias("doc_id"))
+    bad = shown.join(labels, "doc_id").select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_rules.judge(pages, URL_RULES, url_rules.mine(pages, bad))
 
 
