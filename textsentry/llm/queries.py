@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsentry._ship import ship
-from textsentry.llm import langid, quality_classifier, quality_rules, url_rules
+from textsentry.llm import langid, quality_classifier, quality_rules, toxicity, url_rules
 from textsentry.llm._run import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,15 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, model, keep=("doc_id", held_out.alias("held_out")))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    texts, toxic = quality_classifier.labelled_sample(docs, labels, "toxic", rows=6000)
+    return toxicity.scored(docs, toxicity.train(texts, toxic), keep=("doc_id", held_out.alias("held_out")))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
