@@ -12,8 +12,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors of this application, once."""
+    """Send the package to the executors of this application, once; Arrow batches of the default 10 000 rows become smaller, as texts can be long."""
     sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, "1000")
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
