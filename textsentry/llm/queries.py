@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsentry._ship import ship
-from textsentry.llm import langid, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity, url_rules
+from textsentry.llm import kneser_ney, langid, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity, url_rules
 from textsentry.llm._run import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model = kneser_ney.fit(docs.where(~held_out))
+    return kneser_ney.scored(docs, model, keep=("doc_id", held_out.alias("held_out"))).drop("perplexity")
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
