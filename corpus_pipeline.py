@@ -1,11 +1,73 @@
-"""Stages of the corpus pipeline."""
+"""From raw documents to a training sample, in five stages.
 
-STAGES = []
+Each stage reads all that the one before kept, and its decisions take effect:
+
+1. quality rules: rejected documents go;
+2. n-gram Jaccard join: of each group of near copies the least id stays;
+3. suffix-array dedup: byte strings of ``REPEAT`` bytes or more that occurred
+   before are cut out of the texts; the first occurrence stays;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. mixing: documents are sampled so that weighted tokens meet the targets.
+
+Stages 1 to 4 return the columns of their input; 5 adds mix_topic and
+mix_weight.  Empty input gives empty output.  n_chars is that of the original.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textsentry._ship import ship
+from textsentry.llm import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup
+from textsentry.llm._run import table, written
+
+#: Passages of over 50 words repeat in this many bytes at least.
+REPEAT = 240
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality_rules.accepted(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.kept_firsts(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.cut_repeats(docs, length=REPEAT)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return mixing.sampled(docs)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("ngram_join", near_copies),
+    ("suffix_dedup", repeats),
+    ("decontaminate", decontaminated),
+    ("mixing", mixture),
+]
+
+#: The stages' estimates and searches go beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textsentry.llm._run import written
+
 #: Fixed by the contract: what separates words, and what counts as a symbol.
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -138,3 +140,9 @@ def judged(measures: DataFrame, *, rules: dict[str, Column] | None = None, least
         x = x + F.when(v == 1, math.log(a / (1 - a))).when(v == 0, -math.log(a / (1 - a))).otherwise(0.0)
     out = measures.withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-x)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+
+
+def accepted(docs: DataFrame, *, text: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged.  Rows and measures are written once and read twice."""
+    rows = written(measured(docs, keep=(F.struct("*").alias("__row"),), text=text), "measured")
+    return judged(rows, **options).where("kept").select("__row.*")

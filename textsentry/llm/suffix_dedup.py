@@ -17,7 +17,10 @@ a segment.
    is cut at ``length``; previous and next smaller positions in suffix order
    give each window's longest previous and next factor, cut there too.
 4. Groups of more than ``hot`` kinds, which one task should not hold, are dealt
-   by whole windows instead, which are counted in a partial aggregation.
+   anew by blocks of ``BLOCK`` neighbouring windows: equal windows lie in blocks
+   with equal cores (the bytes that all windows of the block have).  Steps 2 and
+   3 follow for these; blocks of groups still too large are dealt by whole
+   windows, which are counted in a partial aggregation.
 
 Hashes are 64 bits long (windows in step 4: 128); texts are told apart by
 64-bit hashes.
@@ -40,6 +43,7 @@ from textsentry.llm._text import chunks, mix, raw
 
 #: Stands for a null id: such rows come last.
 LAST = (1 << 63) - 1
+BLOCK = 16
 
 GRAM = 32
 _BITS = 26
@@ -224,6 +228,45 @@ def _sliced(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     return wanted.join(packed, ["id", "t"]).select("id", "t", "segs", "packed").mapInArrow(run, "anchor long, id long, t long, lo int, body binary, hot boolean")
 
 
+def _blocks(slices: DataFrame, length: int) -> DataFrame:
+    """Blocks of windows of hot groups: group (hash of anchor, place and core), kind, id, t, lo, body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << _BITS) - 1)
+        names = ["anchor", "kind", "id", "t", "lo", "body"]
+        for batch in batches:
+            out = []
+            for anchor, i, t, lo, body in zip(*(c.to_pylist() for c in batch.columns)):
+                at = int(np.argmin(gram_hashes(np.frombuffer(body, np.uint8, length)) & ~mask))
+                n = len(body) - length + 1
+                for j in range(max(0, (at - n + 1) // BLOCK), at // BLOCK + 1):
+                    x, y = max(0, at - BLOCK * j - BLOCK + 1), min(n - 1, at - BLOCK * j)
+                    part = body[x : y + length]
+                    core = body[at - BLOCK * j : at - BLOCK * j - BLOCK + 1 + length]
+                    group = xxhash.xxh3_64_intdigest(core, (anchor * 31 + j) & LAST) - (1 << 63)
+                    out.append((group, xxhash.xxh3_64_intdigest(part, at - x) - (1 << 63), i, t, lo + x, part))
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+
+    return slices.mapInArrow(run, "anchor long, kind long, id long, t long, lo int, body binary")
+
+
+def _hot_spans(slices: DataFrame, length: int, keep: str, hot: int) -> DataFrame:
+    """(t, a, b) from slices of hot groups."""
+    blocks = written(_blocks(slices, length), "blocks")
+    place = F.struct("t", "lo")
+    kinds = blocks.groupBy("anchor", "kind").agg(F.min(F.struct("id", "t", "lo", "body")).alias("first"), F.min(place).alias("x"), F.max(place).alias("y"))
+    kinds = written(kinds.select("anchor", "kind", "first", (F.col("x") != F.col("y")).alias("twice")), "kinds")
+    whole = blocks.join(kinds.where("twice").select("anchor", "kind", F.struct("first.t", "first.lo").alias("first")), ["anchor", "kind"])
+    if keep == "first":
+        whole = whole.where("t <> first.t or lo <> first.lo")
+    spans = whole.select("t", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("body")).alias("b"))
+    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    again = written(kinds.join(several, "anchor").select("anchor", "first.id", "first.t", "first.lo", "first.body", (F.col("n") > hot).alias("hot")), "slices")
+    dealt = again.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    return spans.unionByName(_compared(dealt, length, keep)).unionByName(_windows(again.where("hot").drop("hot"), length, keep))
+
+
 def _windows(slices: DataFrame, length: int, keep: str) -> DataFrame:
     """(t, a, b) from slices of hot groups: every window by its own hash."""
 
@@ -255,11 +298,11 @@ def repeated_spans(rows: DataFrame, length: int, keep: str, hot: int) -> DataFra
     if keep == "first":
         whole = whole.where("t <> first.t or lo <> first.lo")
     spans = whole.select("t", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")).distinct()
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
     wanted = kinds.join(several, "anchor").select("first.id", "first.t", F.struct("anchor", "first.lo", "first.hi", (F.col("n") > hot).alias("hot")).alias("seg"))
     slices = written(_sliced(wanted.groupBy("id", "t").agg(F.collect_list("seg").alias("segs")), _packed(rows), length), "slices")
     dealt = slices.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.unionByName(_compared(dealt, length, keep)).unionByName(_windows(slices.where("hot").drop("hot"), length, keep))
+    spans = spans.unionByName(_compared(dealt, length, keep)).unionByName(_hot_spans(slices.where("hot").drop("hot"), length, keep, hot))
     return spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
