@@ -6,12 +6,19 @@ patterns expect.  All functions take a null text as an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<text:string,start:int,end:int>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def rx(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags}){pattern}"
 
@@ -59,14 +66,17 @@ def spans(text: Column, pattern: str, flags: str = "") -> Column:
     match, the usual case, cost one search.
     """
     full = rx(pattern, flags)
-    between, hits = F.split(text, full, -1), F.regexp_extract_all(text, F.lit(full), 0)
     add = lambda n, x: n + F.length(x)
+    parts = F.struct(F.split(text, full, -1).alias("between"), F.regexp_extract_all(text, F.lit(full), 0).alias("hits"))
+
+    def all_spans(p: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            start = F.aggregate(F.slice(p["between"], 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(p["hits"], F.lit(1), i), F.lit(0), add)
+            return F.struct(hit.alias("text"), start.alias("start"), (start + F.length(hit)).alias("end"))
 
-    def span(hit: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), add)
-        return F.struct(hit.alias("text"), start.alias("start"), (start + F.length(hit)).alias("end"))
+        return F.transform(p["hits"], span)
 
-    return F.when(text.rlike(full), F.transform(hits, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(full), let(parts, all_spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def round4(x: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textsentry.catalog import injection as catalog
 from textsentry.catalog.injection import InjectionPattern
-from textsentry.functions.text import blank, count_matches, count_of, has, joined, round4, rx, spans, strip, text_of
+from textsentry.functions.text import blank, count_matches, count_of, has, joined, let, round4, rx, spans, strip, text_of
 from textsentry.types import MATCH, SENSITIVITIES, SEVERITIES, chosen, label
 
 
@@ -62,9 +62,11 @@ class InjectionDetector:
         A blank or null text is not flagged and scores 0.
         """
         text = text_of(text)
-        pattern, semantic = self.pattern_confidence(text), semantic_scores(text)["overall"]
+        parts = F.struct(self.pattern_confidence(text).alias("pattern"), semantic_scores(text)["overall"].alias("semantic"), blank(text).alias("blank"))
+        return let(parts, lambda p: self._combined(p["pattern"], p["semantic"], p["blank"]))
+
+    def _combined(self, pattern: Column, semantic: Column, zero: Column) -> Column:
         both = round4(F.least(pattern * (1.0 - self.semantic_weight) + semantic * self.semantic_weight, F.lit(1.0)))
-        zero = blank(text)
         return F.struct(
             F.when(zero, False).otherwise(both >= self.threshold).alias("is_injection"),
             F.when(zero, 0.0).otherwise(both).alias("confidence"),
@@ -75,16 +77,20 @@ class InjectionDetector:
     def detect(self, text: Column) -> Column:
         """The score with severity, matches, semantic scores and their signals, and what was matched."""
         text = text_of(text)
-        score, found, semantic = self.score(text), self.matches(text), semantic_scores(text)
+        parts = {"score": self.score(text), "found": self.matches(text), "semantic": semantic_scores(text), "severity": self.severity(text), "signals": signals(text), "blank": blank(text)}
+        return let(F.struct(*[c.alias(k) for k, c in parts.items()]), self._result)
+
+    @staticmethod
+    def _result(p: Column) -> Column:
+        score, found, semantic, zero = p["score"], p["found"], p["semantic"], p["blank"]
         names = F.array_distinct(F.transform(found, lambda m: m["pattern_name"]))
-        zero = blank(text)
         none = lambda c: F.when(zero, 0.0).otherwise(c)
         return F.struct(
             *[score[k].alias(k) for k in ("is_injection", "confidence", "pattern_confidence", "semantic_confidence")],
-            F.when(zero, "low").otherwise(self.severity(text)).alias("severity"),
+            F.when(zero, "low").otherwise(p["severity"]).alias("severity"),
             found.alias("matched_patterns"),
             *[none(semantic[k]).alias(k) for k in catalog.SEMANTIC_WEIGHTS],
-            signals(text).alias("signals"),
+            p["signals"].alias("signals"),
             F.size(found).alias("pattern_match_count"),
             F.size(names).alias("unique_patterns_matched"),
             names.alias("patterns_matched"),
@@ -114,36 +120,50 @@ def _padded(text: Column) -> Column:
     return (lines > 20) & (F.length(strip(text)) < lines * 5)
 
 
+def _counts(text: Column) -> Column:
+    count, total = _imperatives(text)
+    numbers = {"count": count, "total": total, **{k: count_matches(text, r, "i") for k, r in (("directives", catalog.DIRECTIVE), ("roles", catalog.ROLEPLAY), ("bounds", catalog.BOUNDARY))}}
+    flags = {"addressed": has(text, catalog.ADDRESSAL, "i"), "urgent": has(text, catalog.URGENCY, "i"), "meta": has(text, catalog.META, "i"), "padded": _padded(text)}
+    return F.struct(*[c.alias(k) for k, c in (numbers | flags).items()])
+
+
 def semantic_scores(text: Column) -> Column:
     """struct(imperative, roleplay, context_manipulation, overall), each rounded; overall is of the unrounded scores."""
-    count, total = _imperatives(text)
-    directives, roles, bounds = (count_matches(text, r, "i") for r in (catalog.DIRECTIVE, catalog.ROLEPLAY, catalog.BOUNDARY))
+    return let(let(_counts(text), _unrounded), _weighted)
+
+
+def _unrounded(c: Column) -> Column:
     when = lambda c, v: F.when(c, v).otherwise(0.0)
-    addressed = has(text, catalog.ADDRESSAL, "i")
-    cap = lambda c: F.least(c, F.lit(1.0))
+    cap = lambda c, most=1.0: F.least(c, F.lit(most))
     scores = {
-        "imperative": cap(when(count > 0, F.least(count / total * 1.5, F.lit(0.5))) + when(directives > 0, F.least(directives * 0.15, F.lit(0.3))) + when(addressed, 0.2) + when(has(text, catalog.URGENCY, "i"), 0.1)),
-        "roleplay": cap(when(roles > 0, F.least(roles * 0.35, F.lit(0.7))) + when(addressed & (roles > 0), 0.3)),
-        "context_manipulation": cap(when(bounds > 0, F.least(bounds * 0.2, F.lit(0.4))) + when(has(text, catalog.META, "i"), 0.4) + when(_padded(text), 0.2)),
+        "imperative": cap(when(c["count"] > 0, cap(c["count"] / c["total"] * 1.5, 0.5)) + when(c["directives"] > 0, cap(c["directives"] * 0.15, 0.3)) + when(c["addressed"], 0.2) + when(c["urgent"], 0.1)),
+        "roleplay": cap(when(c["roles"] > 0, cap(c["roles"] * 0.35, 0.7)) + when(c["addressed"] & (c["roles"] > 0), 0.3)),
+        "context_manipulation": cap(when(c["bounds"] > 0, cap(c["bounds"] * 0.2, 0.4)) + when(c["meta"], 0.4) + when(c["padded"], 0.2)),
     }
-    overall = reduce(lambda a, b: a + b, [scores[k] * w for k, w in catalog.SEMANTIC_WEIGHTS.items()])
-    return F.struct(*[round4(c).alias(k) for k, c in scores.items()], round4(cap(overall)).alias("overall"))
+    return F.struct(*[x.alias(k) for k, x in scores.items()])
+
+
+def _weighted(s: Column) -> Column:
+    overall = reduce(lambda a, b: a + b, [s[k] * w for k, w in catalog.SEMANTIC_WEIGHTS.items()])
+    return F.struct(*[round4(s[k]).alias(k) for k in catalog.SEMANTIC_WEIGHTS], round4(F.least(overall, F.lit(1.0))).alias("overall"))
 
 
 def signals(text: Column) -> Column:
     """What the semantic score rests on, in words."""
-    count, total = _imperatives(text)
-    directives, roles, bounds = (count_matches(text, r, "i") for r in (catalog.DIRECTIVE, catalog.ROLEPLAY, catalog.BOUNDARY))
-    addressed = has(text, catalog.ADDRESSAL, "i")
+    return let(_counts(text), _signals)
+
+
+def _signals(c: Column) -> Column:
+    some = lambda k, form: F.when(c[k] > 0, F.format_string(form, c[k]))
     found = [
-        F.when(count > 0, F.format_string("Imperative verb ratio: %d/%d sentences", count, total)),
-        F.when(directives > 0, F.format_string("Second-person directives detected (%d occurrences)", directives)),
-        F.when(addressed, "Direct AI addressal detected"),
-        F.when(has(text, catalog.URGENCY, "i"), "Urgency language detected"),
-        F.when(roles > 0, F.format_string("Role manipulation phrases detected (%d occurrences)", roles)),
-        F.when(addressed & (roles > 0), "Role manipulation combined with AI addressal"),
-        F.when(bounds > 0, F.format_string("Context boundary markers detected (%d occurrences)", bounds)),
-        F.when(has(text, catalog.META, "i"), "Meta-instruction language detected"),
-        F.when(_padded(text), "Suspicious whitespace padding detected"),
+        F.when(c["count"] > 0, F.format_string("Imperative verb ratio: %d/%d sentences", c["count"], c["total"])),
+        some("directives", "Second-person directives detected (%d occurrences)"),
+        F.when(c["addressed"], "Direct AI addressal detected"),
+        F.when(c["urgent"], "Urgency language detected"),
+        some("roles", "Role manipulation phrases detected (%d occurrences)"),
+        F.when(c["addressed"] & (c["roles"] > 0), "Role manipulation combined with AI addressal"),
+        some("bounds", "Context boundary markers detected (%d occurrences)"),
+        F.when(c["meta"], "Meta-instruction language detected"),
+        F.when(c["padded"], "Suspicious whitespace padding detected"),
     ]
     return F.array_compact(F.array(*found))

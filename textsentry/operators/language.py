@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textsentry.functions.text import round4, rx, text_of
+from textsentry.functions.text import let, round4, rx, text_of
 
 CANDIDATE = "struct<language:string,probability:double>"
 
@@ -41,14 +41,24 @@ class LanguageDetector:
         confidence 0; blank and null texts have a null language and are allowed.
         """
         low = F.lower(text_of(text))
+        empty = ~F.coalesce(low.rlike(rx(r"\S")), F.lit(False))
+        return let(F.struct(self._candidates(low).alias("candidates"), empty.alias("empty")), self._result)
+
+    def _candidates(self, low: Column) -> Column:
         found = F.array_distinct(F.filter(F.split(low, rx(r"[^\p{L}]+")), lambda w: w != ""))
-        hits = {k: F.size(F.array_intersect(found, F.array(*map(F.lit, ws)))) for k, ws in sorted(self.words.items())}
-        total = sum(hits.values(), F.lit(0))
-        rows = F.array(*[F.struct((-round4(n / F.greatest(total, F.lit(1)))).alias("less"), F.lit(k).alias("language"), round4(n / F.greatest(total, F.lit(1))).alias("probability")) for k, n in hits.items()])
-        candidates = F.transform(F.array_sort(F.filter(rows, lambda r: r["probability"] > 0)), lambda r: F.struct(r["language"].alias("language"), r["probability"].alias("probability")).cast(CANDIDATE))
+        names = sorted(self.words)
+        hits = let(found, lambda f: F.struct(*[F.size(F.array_intersect(f, F.array(*map(F.lit, self.words[k])))).alias(k) for k in names]))
+
+        def rows(h: Column) -> Column:
+            total = F.greatest(sum((h[k] for k in names), F.lit(0)), F.lit(1))
+            return F.array(*[F.struct((-round4(h[k] / total)).alias("less"), F.lit(k).alias("language"), round4(h[k] / total).alias("probability")) for k in names])
+
+        return F.transform(F.array_sort(F.filter(let(hits, rows), lambda r: r["probability"] > 0)), lambda r: F.struct(r["language"].alias("language"), r["probability"].alias("probability")).cast(CANDIDATE))
+
+    def _result(self, p: Column) -> Column:
+        candidates = p["candidates"]
         top = F.get(candidates, F.lit(0))
-        empty = ~F.coalesce(low.rlike(rx(r"\S")), F.lit(False))
-        language = F.when(~empty, F.coalesce(top["language"], F.lit("unknown")))
+        language = F.when(~p["empty"], F.coalesce(top["language"], F.lit("unknown")))
         ok = self.accepts(language)
         return F.struct(language.alias("language"), F.coalesce(top["probability"], F.lit(0.0)).alias("confidence"), ok.alias("is_allowed"), candidates.alias("candidates"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textsentry.catalog.pii import PATTERNS, PIIPattern
-from textsentry.functions.text import joined, spans, text_of
+from textsentry.functions.text import joined, let, spans, text_of
 from textsentry.functions.validators import VALIDATORS
 from textsentry.types import DETECTION
 
@@ -72,14 +72,13 @@ def keyed(detections: Column) -> Column:
 
 def without_overlaps(found: Column) -> Column:
     """Walks through the spans by start; one that overlaps the last kept replaces it only if it is more confident."""
-    empty = F.slice(found, 1, 0)
 
     def step(kept: Column, x: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)
         more = F.when(x["confidence"] > last["confidence"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))).otherwise(kept)
         return F.when((F.size(kept) > 0) & (x["start"] < last["end"]), more).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.when(F.size(found) > 1, F.aggregate(F.array_sort(found), empty, step)).otherwise(found)
+    kept = let(found, lambda f: F.when(F.size(f) > 1, F.aggregate(F.array_sort(f), F.slice(f, 1, 0), step)).otherwise(f))
     return F.transform(kept, _plain)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textsentry.functions.text import text_of
+from textsentry.functions.text import let, text_of
 from textsentry.operators.pii import PIIDetector
 from textsentry.types import REDACTION, STRATEGIES, chosen
 
@@ -41,7 +41,9 @@ class Redactor:
         already replaced is left out.  The strategy of the call wins over that
         of the type, which wins over the default.  A null text is empty.
         """
-        text = text_of(text)
+        return let(F.struct(text_of(text).alias("text"), detections.alias("found")), lambda x: self._redacted(x["text"], x["found"], strategy))
+
+    def _redacted(self, text: Column, detections: Column, strategy: str | None) -> Column:
         order = F.reverse(F.array_sort(F.transform(detections, lambda d, i: F.struct(d["start"].alias("start"), (d["end"] - d["start"]).alias("size"), (-i).alias("number"), d.alias("d")))))
 
         def detail(d: Column) -> Column:
@@ -51,13 +53,15 @@ class Redactor:
         state = F.struct(text.alias("text"), F.lit(2147483647).alias("last"), F.array().cast(f"array<{REDACTION}>").alias("done"))
 
         def step(s: Column, x: Column) -> Column:
-            d = detail(x["d"])
-            put = F.concat(F.substring(s["text"], F.lit(1), d["start"]), d["replacement"], F.substring(s["text"], d["end"] + 1, F.length(s["text"])))
-            return F.when(d["end"] > s["last"], s).otherwise(F.struct(put.alias("text"), d["start"].alias("last"), F.concat(F.array(d), s["done"]).alias("done")))
+            def put(d: Column) -> Column:
+                new = F.concat(F.substring(s["text"], F.lit(1), d["start"]), d["replacement"], F.substring(s["text"], d["end"] + 1, F.length(s["text"])))
+                return F.struct(new.alias("text"), d["start"].alias("last"), F.concat(F.array(d), s["done"]).alias("done"))
+
+            return F.when(x["d"]["end"] > s["last"], s).otherwise(let(detail(x["d"]), put))
 
-        out = F.aggregate(order, state, step)
+        done = let(F.aggregate(order, state, step), lambda s: F.struct(text.alias("original_text"), s["text"].alias("redacted_text"), s["done"].alias("redactions")))
         plain = F.struct(text.alias("original_text"), text.alias("redacted_text"), F.array().cast(f"array<{REDACTION}>").alias("redactions"))
-        return F.when(F.size(detections) > 0, F.struct(text.alias("original_text"), out["text"].alias("redacted_text"), out["done"].alias("redactions"))).otherwise(plain)
+        return F.when(F.size(detections) > 0, done).otherwise(plain)
 
 
 def redact_pii(text: Column, strategy: str = "replace") -> Column:

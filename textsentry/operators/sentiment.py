@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textsentry.catalog import sentiment as catalog
-from textsentry.functions.text import count_of, round4, rx, text_of, words
+from textsentry.functions.text import count_of, let, round4, rx, text_of, words
 
 
 class SentimentAnalyzer:
@@ -30,6 +30,8 @@ class SentimentAnalyzer:
                 valence = F.when(t.isin(ws), v).otherwise(valence)
             for v, ws in factors.items():
                 factor = F.when(t.isin(ws), v).otherwise(factor)
+            known = t.isin(sorted({*self.valences, *catalog.INTENSIFIERS}))
+            valence, factor = F.when(known, valence), F.when(known, factor)
             return F.struct(t.isin(catalog.NEGATIONS + catalog.CONTRACTIONS).alias("negation"), factor.alias("factor"), valence.alias("valence"))
 
         return F.transform(tokens, value)
@@ -58,19 +60,24 @@ class SentimentAnalyzer:
 
     def analyze(self, text: Column) -> Column:
         """struct(sentiment, score in [-1, 1], confidence in [0, 1]); neutral, 0 and 0 for a text without valence words."""
-        text = text_of(text)
-        tokens = F.regexp_extract_all(F.lower(text), F.lit(rx(r"[a-z]+(?:'[a-z]+)?")), 0)
-        s = self._fold(self._values(tokens))
-        shouts, parts = count_of(text, "!"), words(text)
-        loud = F.size(F.filter(parts, lambda w: w.rlike(rx(r"^\p{L}{3,}\z")) & (F.upper(w) == w) & (F.lower(w) != w))) / F.greatest(F.size(parts), F.lit(1))
-        emphasis = 1.0 + F.when(shouts > 0, F.least(shouts * 0.05, F.lit(0.2))).otherwise(0.0) + F.when(loud > 0.1, F.least(loud * 0.3, F.lit(0.15))).otherwise(0.0)
-
-        def result(r: Column) -> Column:
-            agree = F.when(r["score"] >= 0, r["above"]).otherwise(r["n"] - r["above"]) / r["n"]
-            sure = 0.4 * F.abs(r["score"]) + 0.35 * agree + 0.25 * F.least(F.lit(1.0), F.ln(r["n"] + 1) / F.ln(F.lit(10.0)))
-            name = F.when(F.abs(r["score"]) < self.neutral, "neutral").when(r["score"] > 0, "positive").otherwise("negative")
-            return F.struct(name.alias("sentiment"), round4(r["score"]).alias("score"), round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"))
-
-        # through arrays, so that the fold runs once
-        some = F.get(F.transform(F.filter(F.array(s), lambda x: x["n"] > 0), lambda x: result(F.struct(x["n"].alias("n"), x["above"].alias("above"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x["sum"] / x["n"] * emphasis)).alias("score")))), F.lit(0))
-        return F.coalesce(some, F.struct(F.lit("neutral").alias("sentiment"), F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence")))
+        low = text_of(text)
+        values = self._values(F.regexp_extract_all(F.lower(low), F.lit(rx(r"[a-z]+(?:'[a-z]+)?")), 0))
+        parts = F.struct(let(values, self._fold).alias("s"), let(F.struct(low.alias("text"), words(low).alias("parts")), _emphasis).alias("emphasis"))
+        return let(parts, lambda p: F.when(p["s"]["n"] > 0, let(_score(p), lambda r: self._result(p["s"], r))).otherwise(F.struct(F.lit("neutral").alias("sentiment"), F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"))))
+
+    def _result(self, s: Column, score: Column) -> Column:
+        agree = F.when(score >= 0, s["above"]).otherwise(s["n"] - s["above"]) / s["n"]
+        sure = 0.4 * F.abs(score) + 0.35 * agree + 0.25 * F.least(F.lit(1.0), F.ln(s["n"] + 1) / F.ln(F.lit(10.0)))
+        name = F.when(F.abs(score) < self.neutral, "neutral").when(score > 0, "positive").otherwise("negative")
+        return F.struct(name.alias("sentiment"), round4(score).alias("score"), round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"))
+
+
+def _emphasis(p: Column) -> Column:
+    """A factor for exclamation marks and words in capitals."""
+    shouts, parts = count_of(p["text"], "!"), p["parts"]
+    loud = F.size(F.filter(parts, lambda w: w.rlike(rx(r"^\p{L}{3,}\z")) & (F.upper(w) == w) & (F.lower(w) != w))) / F.greatest(F.size(parts), F.lit(1))
+    return let(loud, lambda x: 1.0 + F.when(shouts > 0, F.least(shouts * 0.05, F.lit(0.2))).otherwise(0.0) + F.when(x > 0.1, F.least(x * 0.3, F.lit(0.15))).otherwise(0.0))
+
+
+def _score(p: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p["s"]["sum"] / p["s"]["n"] * p["emphasis"]))

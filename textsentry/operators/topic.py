@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textsentry.catalog.topics import TOPICS, Topic
-from textsentry.functions.text import blank, count_of, round4, rx, strip, text_of, word_count
+from textsentry.functions.text import blank, count_of, let, round4, rx, strip, text_of, word_count
 
 SCORE = "struct<topic:string,score:double,matched_terms:array<string>>"
 
@@ -43,14 +43,19 @@ class TopicClassifier:
         allows none.  Blank and null texts are off topic.
         """
         low = strip(F.lower(text_of(text)))
-        n, tokens = word_count(low), F.regexp_extract_all(low, F.lit(rx(r"[a-z0-9]+(?:[-'][a-z0-9]+)*")), 0)
+        tokens = F.regexp_extract_all(low, F.lit(rx(r"[a-z0-9]+(?:[-'][a-z0-9]+)*")), 0)
+        singles = sorted({k.lower().strip() for t in self.topics for k in t.keywords})
+        parts = F.struct(low.alias("low"), F.filter(tokens, lambda x: x.isin(singles)).alias("tokens"), word_count(low).alias("n"), blank(text_of(text)).alias("blank"))
+        return let(let(parts, self._detected), lambda d: self.judged(d, allowed))
+
+    def _detected(self, p: Column) -> Column:
+        low, tokens, n = p["low"], p["tokens"], p["n"]
         rows = []
         for i, t in enumerate(self.topics):
             score, terms = self._scored(t, low, tokens, n)
-            rows.append(F.struct((-round4(score)).alias("less"), F.lit(i).alias("number"), F.lit(t.name).alias("topic"), round4(score).alias("score"), terms.alias("matched_terms")))
+            rows.append(let(round4(score), lambda s: F.struct((-s).alias("less"), F.lit(i).alias("number"), F.lit(t.name).alias("topic"), s.alias("score"), terms.alias("matched_terms"))))
         found = F.filter(F.array_sort(F.array(*rows)), lambda r: (F.size(r["matched_terms"]) > 0) & (r["score"] >= self.threshold))
-        detected = F.when(blank(text_of(text)), F.array().cast(f"array<{SCORE}>")).otherwise(F.transform(found, lambda r: F.struct(r["topic"].alias("topic"), r["score"].alias("score"), r["matched_terms"].alias("matched_terms")).cast(SCORE)))
-        return self.judged(detected, allowed)
+        return F.when(p["blank"], F.array().cast(f"array<{SCORE}>")).otherwise(F.transform(found, lambda r: F.struct(r["topic"].alias("topic"), r["score"].alias("score"), r["matched_terms"].alias("matched_terms")).cast(SCORE)))
 
     @staticmethod
     def judged(detected: Column, allowed: Iterable[str] | None = None) -> Column:

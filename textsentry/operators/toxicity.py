@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textsentry.catalog import toxicity as catalog
-from textsentry.functions.text import blank, has, round4, strip, text_of, word_count
+from textsentry.functions.text import blank, has, let, round4, strip, text_of, word_count
 
 
 class ToxicityClassifier:
@@ -29,10 +29,13 @@ class ToxicityClassifier:
         An entry counts once however often it occurs; long texts are dampened.
         """
         low = strip(F.lower(text_of(text)))
-        n = word_count(low)
+        parts = F.struct(low.alias("low"), word_count(low).alias("n"), blank(text_of(text)).alias("blank"))
+        return let(parts, lambda p: self._scores(p["low"], p["n"], p["blank"]))
+
+    def _scores(self, low: Column, n: Column, zero: Column) -> Column:
         damp = F.when(n <= 10, 1.0).otherwise(F.greatest(1.0 / (1.0 + 0.15 * F.ln(n / 10)), F.lit(0.3)))
         raw = {k: reduce(lambda a, b: a + b, [F.when(has(low, r, "i"), w).otherwise(0.0) for r, w in found], F.lit(0.0)) for k, found in self.entries.items()}
-        return F.struct(*[F.when(blank(text_of(text)), 0.0).otherwise(F.least(F.least(x, F.lit(1.0)) * damp, F.lit(1.0))).alias(k) for k, x in raw.items()])
+        return F.struct(*[F.when(zero, 0.0).otherwise(F.least(F.least(x, F.lit(1.0)) * damp, F.lit(1.0))).alias(k) for k, x in raw.items()])
 
     def judged(self, scores: Column) -> Column:
         """struct(is_toxic, overall_score, the categories' scores, flagged_categories by name, threshold) of :meth:`scores`.
@@ -51,4 +54,4 @@ class ToxicityClassifier:
 
     def classify(self, text: Column) -> Column:
         """:meth:`judged` of :meth:`scores`; a blank or null text is not toxic."""
-        return self.judged(self.scores(text))
+        return let(self.scores(text), self.judged)
