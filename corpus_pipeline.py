@@ -9,50 +9,70 @@ Each stage reads all that the one before kept, and its decisions take effect:
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. mixing: documents are sampled so that weighted tokens meet the targets.
 
-Stages 1 to 4 return the columns of their input; 5 adds mix_topic and
+A stage's result is to be written before the next stage begins, which then
+deletes the tables that the result was made of.  Stages 1 to 4 return the columns of their input; 5 adds mix_topic and
 mix_weight.  Empty input gives empty output.  n_chars is that of the original.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from textsentry._ship import ship
 from textsentry.llm import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup
-from textsentry.llm._run import table, written
+from textsentry.llm._run import discard, table, tables, written
 
 #: Passages of over 50 words repeat in this many bytes at least.
 REPEAT = 240
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables behind the last stage's result.
+_scratch: set[str] = set()
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        discard(spark, *_scratch)
+        before = set(tables())
+        out = f(spark, docs, sf_dir)
+        _scratch.clear()
+        _scratch.update(set(tables()) - before)
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return quality_rules.accepted(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return ngram_join.kept_firsts(docs)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return suffix_dedup.cut_repeats(docs, length=REPEAT)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return mixing.sampled(docs)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
     ("ngram_join", near_copies),
@@ -68,6 +88,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES[:-1]:
+        docs, before = written(f(spark, docs, sf_dir), name), docs
+        discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

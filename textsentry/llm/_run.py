@@ -29,12 +29,34 @@ def local_path(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
+#: Tables written in this process and not yet discarded, by path.
+_tables: dict[str, str] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = label
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame | str | None) -> None:
+    """Delete written tables, given as :func:`written` returned them or by path, once nothing reads them any more."""
+    for frame in frames:
+        path = frame if isinstance(frame, str) else getattr(frame, "_path", None)
+        if path in _tables:
+            del _tables[path]
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def tables() -> list[str]:
+    """Paths of the tables that are still there."""
+    return list(_tables)
 
 
 def remainder(key: Column, mod: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import written
+from textsentry.llm._run import discard, written
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,10 +33,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        now = written(_starred(_starred(now, True), False), "edges")
+        now, before = written(_starred(_starred(now, True), False), "edges"), now
+        discard(now.sparkSession, before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._path = now._path
+    return out

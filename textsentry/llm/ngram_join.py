@@ -32,7 +32,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import unit_hash, written
+from textsentry.llm._run import discard, unit_hash, written
 from textsentry.llm._text import sets_of
 from textsentry.llm.components import components
 
@@ -69,15 +69,14 @@ def document_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """id, s1 and s2 (hash of the set), n (its size), prefix (rare first) and salt (parts of a frequent shingle's group)."""
+    """id, s1 and s2 (hash of the set), n (its size), prefix (rare first), and for each of it whether it is frequent."""
     hot = max(2048, 4 * int(counts.mean()))
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s1, s2, size, prefix, salt, at = [], [], [], [], [], [0]
-            ids = batch.column(0).to_pylist()
-            for row, grams in zip(ids, sets_of(batch.column(1), words)):
+            s1, s2, size, prefix, often, at = [], [], [], [], [], [0]
+            for grams in sets_of(batch.column(1), words):
                 digest = xxhash.xxh3_128_intdigest(grams.tobytes())
                 s1.append((digest >> 64) - (1 << 63))
                 s2.append((digest & ((1 << 64) - 1)) - (1 << 63))
@@ -86,13 +85,13 @@ def _prefixes(docs: DataFrame, key: str, text: str, words: int, percent: int, co
                 seen = counts[(grams >> shift).astype(np.int64)]
                 first = np.argsort(seen, kind="stable")[: n - -(-percent * n // 100) + 1 if n else 0]
                 prefix.append(grams[first].view(np.int64))
-                salt.append(((row or 0) % (seen[first] // hot + 1)).astype(np.int32))
+                often.append(seen[first] > hot)
                 at.append(at[-1] + len(first))
             border = pa.array(at, pa.int32())
-            arrays = [pa.ListArray.from_arrays(border, pa.array(np.concatenate(x) if x else np.zeros(0, kind), kind)) for x, kind in ((prefix, pa.int64()), (salt, pa.int32()))] if ids else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int64()), *arrays], names=["id", "s1", "s2", "n", "prefix", "salt"])
+            arrays = [pa.ListArray.from_arrays(border, pa.array(np.concatenate(x), kind)) for x, kind in ((prefix, pa.int64()), (often, pa.bool_()))] if size else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int64()), *arrays], names=["id", "s1", "s2", "n", "prefix", "often"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, s1 long, s2 long, n long, prefix array<long>, salt array<int>")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, s1 long, s2 long, n long, prefix array<long>, often array<boolean>")
 
 
 def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,16 +167,22 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     an id stand for one document with several texts; a row without an id gets
     the component of its text if another row has that, else null.
     """
+    spark = docs.sparkSession
     rows = written(_prefixes(docs, key, text, words, percent, document_counts(docs, text, words)), "sets")
-    classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("class_id"))
-    members = rows.select("id", "s1", "s2", "n")
-    firsts = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("id", "n", "prefix", "salt"), "id").alias("r")).select("r.*")
-    entries = firsts.select("id", "n", F.posexplode(F.arrays_zip("prefix", "salt")).alias("pos", "e")).select(F.col("e.prefix").alias("g"), F.col("e.salt").alias("part"), "id", "n", "pos")
-    # members of a part; a frequent shingle has parts and so stays in any case
-    entries = entries.withColumn("c", F.count("*").over(Window.partitionBy("g", "part"))).where("c > 1 or part > 0").drop("c", "part")
-    entries = written(entries, "entries")
+    members = written(rows.select("id", "s1", "s2", "n"), "members")
+    classes = members.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("class_id"))
+    firsts = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("id", "n", "prefix", "often"), "id").alias("r")).select("r.*")
+    # size and place in one number: this is the largest shuffle
+    every = firsts.select("id", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select(F.col("e.prefix").alias("g"), "id", (F.col("n") * (1 << 32) + F.col("pos")).alias("np"), F.col("e.often").alias("often"))
+    # a frequent shingle surely has several members; its group is not brought together to count them
+    rare = every.where("not often").drop("often").withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1").drop("c")
+    entries = rare.unionByName(every.where("often").drop("often"))
+    found_twice = written(entries.select("g", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("pos")), "entries")
+    discard(spark, rows)
+    entries = found_twice
     sizes = entries.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
     entries = written(entries.join(sizes, "g").withColumn("label", F.col("id")), "entries")
+    discard(spark, found_twice)
     texts = written(_packed(docs, key, text).dropna(subset=["doc"]).join(entries.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
     edges, found, leaders, largest = None, None, 4, entries.agg(F.max("members")).first()[0] or 0
     open_groups, tested = entries, None
@@ -194,12 +199,14 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
             break
         large = _labelled(open_groups.where(F.col("members") > max(small, leaders)), found)
         mixed = large.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-        open_groups = written(large.join(mixed, "g"), "entries")
+        open_groups, before = written(large.join(mixed, "g"), "entries"), open_groups
+        discard(spark, before)
         largest = open_groups.agg(F.max("members")).first()[0] or 0
         if not largest:
             break
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         leaders *= 8
+    discard(spark, open_groups, texts)
     named = classes.join(found, F.col("class_id") == F.col("node"), "left").select("s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = members.where("n > 0").join(named, ["s1", "s2"], "left").select("id", "n", "component_id", "class_id")
     out = out.unionByName(members.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("class_id")))

@@ -38,7 +38,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import written
+from textsentry.llm._run import discard, tables, written
 from textsentry.llm._text import chunks, mix, raw
 
 #: Stands for a null id: such rows come last.
@@ -341,7 +341,11 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     equal texts of at least ``length`` bytes lose all.
     """
     rows = _rows(docs, key, text)
-    spans = written(repeated_spans(rows, length, "none", hot), "spans")
+    kept = set(tables())
+    spans = repeated_spans(rows, length, "none", hot)
+    scratch = set(tables()) - kept
+    spans = written(spans, "spans")
+    discard(docs.sparkSession, *scratch)
     plain = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
     copies = plain.where(F.col("n_bytes") >= length).groupBy("t").count().where("count > 1").select("t", F.lit(True).alias("copied"))
 
@@ -377,19 +381,33 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
     that share both id and text count as the first alike.  A null text stays
     null.  All other columns stay as they are.
     """
+    kept = set(tables())
     rows = _rows(docs, key, text)
     spans = repeated_spans(rows, length, "first", hot)
     firsts = rows.groupBy("t").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.max(F.octet_length("body")).alias("size"))
     plan = firsts.join(spans, "t", "left").where((F.col("spans").isNotNull()) | ((F.col("n") > 1) & (F.col("size") >= length))).select(F.col("t").alias("__pt"), "first_id", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("__spans"))
+    before = set(tables()) - kept
     plan = written(plan, "plan")
+    discard(docs.sparkSession, *before)
     names = docs.columns
-    wide = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(plan, F.col("__t") == F.col("__pt"), "left")
-    wide = wide.withColumn("__mode", F.when(F.col("__pt").isNull(), 0).when(F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("first_id"), 1).otherwise(2))
     at = names.index(text)
+    # texts are compressed for the shuffle
+    packed_schema = docs.withColumn(text, F.lit(b"")).withColumn("__t", F.lit(0).cast("long")).schema
+    packed_schema[at].nullable = True
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstd.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([None if x is None else compress(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=[*names, "__t"])
+
+    wide = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).mapInArrow(pack, packed_schema).join(plan, F.col("__t") == F.col("__pt"), "left")
+    wide = wide.withColumn("__mode", F.when(F.col("__pt").isNull(), 0).when(F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("first_id"), 1).otherwise(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstd.ZstdDecompressor().decompress
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = [None if x is None else unpack(x).decode() for x in batch.column(at).to_pylist()]
             for i, (mode, found) in enumerate(zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names)).to_pylist())):
                 if not mode or texts[i] is None:
                     continue
