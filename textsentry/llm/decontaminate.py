@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textsentry.llm._run import tidied
 from textsentry.llm._text import Words, chunks, raw, words_of
 
 WORDS = 5
@@ -162,7 +163,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.float64(), pa.int64(), pa.int64())))], names=names)
 
-        out = out.unionByName(docs.select(key, text).mapInArrow(run, schema))
+        out = out.unionByName(docs.select(key, text).mapInArrow(tidied(run), schema))
     return out
 
 
@@ -176,5 +177,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key
             for batch in batches:
                 yield batch.filter(pa.array([not found for found in index.of(batch.column(at), similarity)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

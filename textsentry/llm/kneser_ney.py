@@ -32,7 +32,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import local_path, shared_dir
+from textsentry.llm._run import local_path, shared_dir, tidied
 from textsentry.llm._text import Words, chunks, mix, raw
 
 END = np.uint64(0xE4D0F7E47E4D0F7E)
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, *, text: str = "text", bucket_bytes: int = 32 << 20) ->
         _write(path, f"word-count-{bucket}", counts)
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())]})
 
-    found = {r[0]: r for r in docs.mapInArrow(count_words, _Batch.schema).groupBy("bucket").applyInArrow(write_words, "bucket int, types long, tokens long").collect()}
+    found = {r[0]: r for r in docs.mapInArrow(tidied(count_words), _Batch.schema).groupBy("bucket").applyInArrow(write_words, "bucket int, types long, tokens long").collect()}
     model = Model(path, bits, sum(r[2] for r in found.values()))
     for i in range(1 << bits):
         model.bases.append(model.bases[-1] + (found[i][1] if i in found else 0))
@@ -312,7 +312,7 @@ def fit(docs: DataFrame, *, text: str = "text", bucket_bytes: int = 32 << 20) ->
         kept = [int((values == k).sum()) for k in (1, 2, 3, 4)] + [int((values > 2).sum())] if at >= 0 else values.tolist() + [0]
         return pa.table({"name": [name], "c": pa.array([kept if name in ("cont", "pairs", "types") else [0] * 5], pa.list_(pa.int64()))})
 
-    stats = docs.mapInArrow(count_pairs, _Batch.schema).groupBy("bucket").applyInArrow(write_pairs, "range int, stat int, n long, body binary")
+    stats = docs.mapInArrow(tidied(count_pairs), _Batch.schema).groupBy("bucket").applyInArrow(write_pairs, "range int, stat int, n long, body binary")
     sums: dict[str, np.ndarray] = {}
     for name, c in stats.groupBy("range", "stat").applyInArrow(write_stats, "name string, c array<long>").collect():
         sums[name] = sums.get(name, np.zeros(5, np.int64)) + np.array(c)
@@ -353,4 +353,4 @@ def scored(docs: DataFrame, model: Model, *, keep: tuple[str | Column, ...] = ("
             columns = [n, known, np.full(len(n), model.tokens), base, score, 10 ** np.minimum(300.0, -score / np.maximum(n, 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns)], names=names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(tidied(run), schema)

@@ -16,7 +16,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import unit_hash
+from textsentry.llm._run import tidied, unit_hash
 
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -31,7 +31,7 @@ def fit_dictionaries(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     dictionary, cut from its middle.  Rows with a null language or a null or
     empty text are left out; no rows give no dictionary.
     """
-    docs = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).where("g is not null and length(t) > 0")
+    docs = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).where("g is not null and length(t) > 0")
     counts = docs.groupBy("g").count().orderBy(F.desc("count"), "g").limit(max_langs).collect()
     if not counts:
         return {}
@@ -90,4 +90,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, keep: tuple[str
             langs, margins = zip(*got) if got else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array([min(1.0, 4 * m) for m in margins], pa.float64()), pa.array([m < min_margin or g == UNKNOWN for g, m in got], pa.bool_())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

@@ -32,7 +32,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import discard, unit_hash, written
+from textsentry.llm._run import discard, tidied, unit_hash, written
 from textsentry.llm._text import sets_of
 from textsentry.llm.components import components
 
@@ -61,7 +61,7 @@ def document_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
         return pa.table({"slab": rows.column("slab").slice(0, 1), "part": rows.column("part").slice(0, 1), "counts": pa.array([zstd.compress(total.tobytes())], pa.binary())})
 
     schema = "slab int, part int, counts binary"
-    found = docs.select(text).mapInArrow(count, schema).groupBy("slab", "part").applyInArrow(add, schema).groupBy("slab").applyInArrow(add, schema)
+    found = docs.select(text).mapInArrow(tidied(count), schema).groupBy("slab", "part").applyInArrow(add, schema).groupBy("slab").applyInArrow(add, schema)
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in found.collect():
         out[r["slab"] * _SLAB : (r["slab"] + 1) * _SLAB] = np.frombuffer(zstd.decompress(r["counts"]), np.int64)
@@ -91,7 +91,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, words: int, percent: int, co
             arrays = [pa.ListArray.from_arrays(border, pa.array(np.concatenate(x), kind)) for x, kind in ((prefix, pa.int64()), (often, pa.bool_()))] if size else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int64()), *arrays], names=["id", "s1", "s2", "n", "prefix", "often"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, s1 long, s2 long, n long, prefix array<long>, often array<boolean>")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(tidied(run), "id long, s1 long, s2 long, n long, prefix array<long>, often array<boolean>")
 
 
 def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((x.as_py() or "").encode()) for x in batch.column(1)], pa.binary())], names=["doc", "packed"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(run, "doc long, packed binary")
+    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(tidied(run), "doc long, packed binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     one = texts.select(F.col("doc").alias("a"), F.col("packed").alias("x"))
     two = texts.select(F.col("doc").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long, linked boolean")
 
 
 def _candidates(entries: DataFrame, leaders: int, small: int, percent: int, seed: int) -> DataFrame:

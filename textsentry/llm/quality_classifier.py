@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import unit_hash
+from textsentry.llm._run import tidied, unit_hash
 from textsentry.llm._text import Words, chunks, mix, raw
 
 GRAMS = (3, 5)
@@ -140,4 +140,4 @@ def scored(docs: DataFrame, model: Model, *, keep: tuple[str | Column, ...] = ("
             p = model.probabilities(batch.column(batch.num_columns - 1))[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= least).astype(np.int32))], names=names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(tidied(run), schema)

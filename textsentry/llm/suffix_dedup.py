@@ -38,7 +38,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import discard, tables, written
+from textsentry.llm._run import discard, tables, tidied, written
 from textsentry.llm._text import chunks, mix, raw
 
 #: Stands for a null id: such rows come last.
@@ -121,7 +121,7 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
                     names=["id", "t", "lo", "hi", "anchor", "kind", "many"],
                 )
 
-    return rows.mapInArrow(run, "id long, t long, lo int, hi int, anchor long, kind long, many boolean")
+    return rows.mapInArrow(tidied(run), "id long, t long, lo int, hi int, anchor long, kind long, many boolean")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x.as_py().encode()) for x in batch.column(2)], pa.binary())], names=["id", "t", "packed"])
 
-    return rows.mapInArrow(run, "id long, t long, packed binary")
+    return rows.mapInArrow(tidied(run), "id long, t long, packed binary")
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +211,7 @@ def _compared(slices: DataFrame, length: int, keep: str, windows: int = 40_000)
         if block:
             yield flush()
 
-    return slices.mapInArrow(run, "t long, a int, b int")
+    return slices.mapInArrow(tidied(run), "t long, a int, b int")
 
 
 def _sliced(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _sliced(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
                 n = len(segs)
                 yield pa.RecordBatch.from_arrays([pa.array([s["anchor"] for s in segs], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array([s["lo"] for s in segs], pa.int32()), pa.array([body[s["lo"] : s["hi"] + length] for s in segs], pa.binary()), pa.array([s["hot"] for s in segs], pa.bool_())], names=["anchor", "id", "t", "lo", "body", "hot"])
 
-    return wanted.join(packed, ["id", "t"]).select("id", "t", "segs", "packed").mapInArrow(run, "anchor long, id long, t long, lo int, body binary, hot boolean")
+    return wanted.join(packed, ["id", "t"]).select("id", "t", "segs", "packed").mapInArrow(tidied(run), "anchor long, id long, t long, lo int, body binary, hot boolean")
 
 
 def _blocks(slices: DataFrame, length: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _blocks(slices: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
 
-    return slices.mapInArrow(run, "anchor long, kind long, id long, t long, lo int, body binary")
+    return slices.mapInArrow(tidied(run), "anchor long, kind long, id long, t long, lo int, body binary")
 
 
 def _hot_spans(slices: DataFrame, length: int, keep: str, hot: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _windows(slices: DataFrame, length: int, keep: str) -> DataFrame:
                 digests = [xxhash.xxh3_128_intdigest(body[k : k + length]) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([(d & ((1 << 64) - 1)) - (1 << 63) for d in digests], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int32())], names=["w1", "w2", "id", "t", "a"])
 
-    every = slices.mapInArrow(run, "w1 long, w2 long, id long, t long, a int")
+    every = slices.mapInArrow(tidied(run), "w1 long, w2 long, id long, t long, a int")
     place = F.struct("t", "a")
     twice = every.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("id", "t", "a")).alias("first")).where("lo <> hi").select("w1", "w2", "first")
     out = every.join(twice, ["w1", "w2"])
@@ -361,7 +361,7 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["t", "removed", "spans", "kept"])
 
     alone = spans.join(copies, "t", "left_anti")
-    cut = alone.join(_packed(rows).drop("id"), "t").select("t", "spans", "packed").mapInArrow(run, "t long, removed long, spans long, kept string")
+    cut = alone.join(_packed(rows).drop("id"), "t").select("t", "spans", "packed").mapInArrow(tidied(run), "t long, removed long, spans long, kept string")
     out = plain.join(copies, "t", "left").join(cut, "t", "left")
     gone = F.col("copied").isNotNull()
     return out.select(
@@ -401,7 +401,7 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
             texts = pa.array([None if x is None else compress(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=[*names, "__t"])
 
-    wide = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).mapInArrow(pack, packed_schema).join(plan, F.col("__t") == F.col("__pt"), "left")
+    wide = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).mapInArrow(tidied(pack), packed_schema).join(plan, F.col("__t") == F.col("__pt"), "left")
     wide = wide.withColumn("__mode", F.when(F.col("__pt").isNull(), 0).when(F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("first_id"), 1).otherwise(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +416,7 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
                 texts[i] = without(body, _whole_characters(body, spans)).decode()
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(names)]], names=names)
 
-    return wide.select(*names, "__spans", "__mode").mapInArrow(run, docs.schema)
+    return wide.select(*names, "__spans", "__mode").mapInArrow(tidied(run), docs.schema)
 
 
 def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
