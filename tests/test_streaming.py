@@ -55,7 +55,7 @@ def test_sessions(spark, table):
 
 
 def test_escalation(spark, table):
-    got = run(spark, S.escalated(Small().scan(stream(spark, table)), "user", 5), "users")
+    got = run(spark, S.escalated(Small().scan(stream(spark, table)), "user", 5), "users", "complete")
     assert sorted((r.user, r.denied) for r in got.collect()) == [("u0", 10), ("u1", 10), ("u2", 10)]
 
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textsentry.api import Engine
 
@@ -31,21 +27,8 @@ def sessions(scanned: DataFrame, ts: str, user: str, gap: str = "15 minutes", la
 
 
 def escalated(scanned: DataFrame, user: str, limit: int = 3) -> DataFrame:
-    """Users whose denied rows reach ``limit``: one row when they do.  State: one count a user; dropped after a day without rows."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get[0] if state.exists else 0
-        now = before + sum(int(f["denied"].sum()) for f in frames)
-        state.update((now,))
-        state.setTimeoutDuration(86_400_000)
-        if before < limit <= now:
-            yield pd.DataFrame({"user": [str(key[0])], "denied": [now]})
-
-    rows = scanned.select(F.col(user).cast("string").alias("user"), (F.col("scan.action") == "deny").cast("int").alias("denied"))
-    return rows.groupBy("user").applyInPandasWithState(step, "user string, denied long", "denied long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Users with at least ``limit`` denied rows so far, for update or complete mode.  The state is one count a user, without Python."""
+    return scanned.groupBy(F.col(user).cast("string").alias("user")).agg(F.count_if(F.col("scan.action") == "deny").alias("denied")).where(F.col("denied") >= limit)
 
 
 def observed(scanned: DataFrame, name: str = "textsentry") -> DataFrame:
