@@ -271,6 +271,16 @@ def test_quality_classifier(spark):
     assert np.mean(np.array(got)[160:] == y[160:]) > 0.95
 
 
+@pytest.mark.parametrize("text", ["", "a", "ab", "abc", "abcd", "abcde", None])
+def test_classifier_alone_with_a_short_text(text):
+    import pyarrow as pa
+
+    model = quality_classifier.train(["some words", "other"], np.array([0, 1]), epochs=1)
+    assert model.probabilities(pa.array([text], pa.string())).sum() == pytest.approx(1)
+    # a chunk of its own, after a text that fills one
+    assert model.probabilities(pa.array(["x y " * (1 << 20), text], pa.string())).shape == (2, 2)
+
+
 def test_classifier_repeats():
     import pyarrow as pa
 

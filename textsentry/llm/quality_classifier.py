@@ -37,9 +37,10 @@ def features(off: np.ndarray, data: np.ndarray, bits: int) -> Iterator[tuple[np.
     text = data[off[0] : off[-1]].astype(np.uint64)
     at = off - off[0]
     for n in GRAMS:
-        code = np.zeros(max(0, len(text) - n + 1), np.uint64)
+        places = max(0, len(text) - n + 1)
+        code = np.zeros(places, np.uint64)
         for k in range(n):
-            code = (code << np.uint64(8)) | text[k : len(text) - n + 1 + k]
+            code = (code << np.uint64(8)) | text[k : places + k]
         # n-grams that reach into the next row go to no row
         count = np.maximum(np.diff(at) - n + 1, 0)
         border = np.concatenate(([0], np.cumsum(count)))
