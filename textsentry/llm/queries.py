@@ -40,6 +40,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLE_SQL["op3_suffix_dedup"] = """
+WITH p AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS k FROM p WHERE length(x) >= 800),
+m AS (SELECT doc_id, k, md5(substr(x, 2 * k + 1, 800)) AS f FROM w),
+d AS (SELECT doc_id, k FROM m SEMI JOIN (SELECT f FROM m GROUP BY f HAVING count(*) > 1) USING (f)),
+i AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 400 THEN 0 ELSE 1 END AS fresh FROM d),
+g AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM i),
+s AS (SELECT doc_id, min(k) AS a, max(k) + 400 AS b FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+u AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM t JOIN p USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM p LEFT JOIN u USING (doc_id)
+"""
+
+
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
@@ -60,6 +75,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(texts, toxic), keep=("doc_id", held_out.alias("held_out")))
 
 
+ORACLE_SQL["op6_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS s FROM w),
+c AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id, s FROM s),
+g AS (SELECT doc_id, n, unnest(s) AS g FROM c WHERE doc_id = class_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, reached) AS (SELECT a, a FROM both_ways UNION SELECT r.doc_id, x.b FROM r JOIN both_ways x ON r.reached = x.a),
+m AS (SELECT doc_id, min(reached) AS component FROM r GROUP BY doc_id)
+SELECT c.doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(m.component, c.class_id) AS component_id, c.class_id FROM c LEFT JOIN m ON c.class_id = m.doc_id
+"""
+
+
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
