@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textsentry.catalog import injection, pii
 from textsentry.functions.text import text_of
 from textsentry.operators.injection import InjectionDetector
 from textsentry.operators.redact import redact_pii
@@ -62,6 +63,13 @@ class Engine:
         return spark.createDataFrame(rows, "policy string, version string, description string, default_action string, position int, rule string, detector_type string, action string, severity string, enabled boolean, config string")
 
 
+def pattern_catalog(spark: SparkSession) -> DataFrame:
+    """All patterns of personal data and of injection: family, position, name, kind, severity, weight and regex."""
+    rows = [("pii", i, p.name, p.entity_type, p.severity, p.confidence, p.regex) for i, p in enumerate(pii.PATTERNS)]
+    rows += [("injection", i, p.name, p.category, p.severity, p.weight, p.regex) for i, p in enumerate(injection.PATTERNS)]
+    return spark.createDataFrame(rows, "family string, position int, name string, kind string, severity string, weight double, regex string")
+
+
 def scan_json(scan: str = "scan") -> Column:
     """The scan as one JSON string: is_safe, action, detections and violations."""
     s = F.col(scan)

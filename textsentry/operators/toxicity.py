@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from textsentry.catalog import toxicity as catalog
 from textsentry.functions.text import blank, has, let, round4, strip, text_of, word_count
 
+_START = r"\b"
+
 
 class ToxicityClassifier:
     """``extra``: more (word, weight) by category; an unknown category is an error."""
@@ -34,8 +36,11 @@ class ToxicityClassifier:
 
     def _scores(self, low: Column, n: Column, zero: Column) -> Column:
         damp = F.when(n <= 10, 1.0).otherwise(F.greatest(1.0 / (1.0 + 0.15 * F.ln(n / 10)), F.lit(0.3)))
+        # all entries start at a word: one search for any of them spares clean texts the rest
+        anywhere = has(low, r"\b(?:" + "|".join(f"(?:{r.removeprefix(_START)})" for found in self.entries.values() for r, _ in found) + ")", "i")
         raw = {k: reduce(lambda a, b: a + b, [F.when(has(low, r, "i"), w).otherwise(0.0) for r, w in found], F.lit(0.0)) for k, found in self.entries.items()}
-        return F.struct(*[F.when(zero, 0.0).otherwise(F.least(F.least(x, F.lit(1.0)) * damp, F.lit(1.0))).alias(k) for k, x in raw.items()])
+        none = zero | ~anywhere
+        return let(none, lambda none: F.struct(*[F.when(none, 0.0).otherwise(F.least(F.least(x, F.lit(1.0)) * damp, F.lit(1.0))).alias(k) for k, x in raw.items()]))
 
     def judged(self, scores: Column) -> Column:
         """struct(is_toxic, overall_score, the categories' scores, flagged_categories by name, threshold) of :meth:`scores`.

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsentry.api import Engine
+from textsentry.api import pattern_catalog as catalog_of_patterns
 from textsentry.catalog import injection, pii, topics, toxicity
 from textsentry.functions.text import count_matches, has, spans
 from textsentry.functions.validators import luhn
@@ -62,8 +63,14 @@ def query(oracle: str | None = None) -> Callable:
     return wrap
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out if its files give fewer tasks than there are cores, as row-wise scans of text are all work and no data."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def added(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +286,7 @@ _TURNS = "(SELECT conv_id, turn, text || chr(10) || CASE (conv_id + turn) % " +
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = F.element_at(F.array(*map(F.lit, ADDED)), ((F.col("conv_id") + F.col("turn")) % len(ADDED) + 1).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat("text", F.lit("\n"), pick).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", F.concat("text", F.lit("\n"), pick).alias("text"))
 
 
 @query(f"SELECT conv_id, turn, CAST({' + '.join(f'CAST({_flag(p)} AS INTEGER)' for p in injection.PATTERNS)} AS INTEGER) AS flags FROM {_TURNS}")
@@ -483,6 +490,13 @@ def policy_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.catalog(spark).groupBy("policy", "default_action").agg(F.count("*").cast("int").alias("rules")).select("policy", "rules", "default_action")
 
 
+@query(_rows([("pii", 18, 11), ("injection", 28, 6)], "family, patterns, kinds"))
+def pattern_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of patterns, counted by family."""
+    found = catalog_of_patterns(spark).groupBy("family")
+    return found.agg(F.count("*").cast("int").alias("patterns"), F.countDistinct("kind").cast("int").alias("kinds"))
+
+
 @query(f"SELECT conv_id, turn, CAST(len(list_filter(list_transform(string_split_regex(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n FROM {_TURNS}")
 def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences counted."""
