@@ -39,6 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out._path = now._path
