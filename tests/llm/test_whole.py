@@ -5,7 +5,10 @@ import random
 
 import pytest
 
-from textsentry.llm import toxicity
+from textsentry.llm import suffix_dedup, toxicity
+
+from .conftest import prose
+from .test_operators import repeated
 
 
 def test_restorer_reads_what_the_pattern_finds_in_the_whole_text():
@@ -18,3 +21,12 @@ def test_restorer_reads_what_the_pattern_finds_in_the_whole_text():
     for text in texts:
         assert restore(text) == toxicity.SUSPECT.sub(restore._read, text.lower()), text
     assert "idiot" in restore("an i..d..i..o..t here") and restore("¡diot") == "idiot" and "crétin" in restore("c r é t i n")
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_first_kept_of_repeats_within_one_text(spark, hot):
+    texts = ["=" * 1000, "ab" * 400, "abcdef" * 200, f"{prose(60, 1)} {'-' * 500} {prose(60, 2)}", prose(100, 3), "#" * 79]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = repeated([t.encode() for t in texts], 80, "first")
+    for r in suffix_dedup.cut_repeats(docs, length=80, hot=hot).collect():
+        assert r.text == "".join(c for c, m in zip(texts[r.doc_id], gone[r.doc_id]) if not m), r.doc_id

@@ -287,7 +287,7 @@ def _windows(slices: DataFrame, length: int, keep: str) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, length: int, keep: str, hot: int) -> DataFrame:
-    """(t, spans): for each distinct text with repeats, byte ranges to remove, unmerged; repeats of a kind inside one text are left to :func:`local_spans`."""
+    """(t, spans): for each distinct text with repeats, byte ranges to remove, unmerged; repeats of a kind inside one text are left to :func:`local_spans`, and may be all that a text with no spans has."""
     segments = _segments(rows, length)
     place = F.struct("t", "lo")
     often = segments.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("many").alias("m")).where("x <> y or m").select("anchor")
@@ -303,7 +303,11 @@ def repeated_spans(rows: DataFrame, length: int, keep: str, hot: int) -> DataFra
     slices = written(_sliced(wanted.groupBy("id", "t").agg(F.collect_list("seg").alias("segs")), _packed(rows), length), "slices")
     dealt = slices.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
     spans = spans.unionByName(_compared(dealt, length, keep)).unionByName(_hot_spans(slices.where("hot").drop("hot"), length, keep, hot))
-    return spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    if keep == "first":
+        # the first place of a kind is no span, though others may follow it in its text
+        none = F.lit(None).cast("int")
+        spans = spans.unionByName(segments.where("many").select("t", none.alias("a"), none.alias("b")).distinct())
+    return spans.groupBy("t").agg(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("spans"))
 
 
 def local_spans(body: bytes, length: int, keep: str) -> list[tuple[int, int]]:
