@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from textsentry.llm import suffix_dedup, toxicity
+from textsentry.llm import decontaminate, suffix_dedup, toxicity
 
 from .conftest import prose
 from .test_operators import repeated
@@ -30,3 +30,39 @@ def test_first_kept_of_repeats_within_one_text(spark, hot):
     gone = repeated([t.encode() for t in texts], 80, "first")
     for r in suffix_dedup.cut_repeats(docs, length=80, hot=hot).collect():
         assert r.text == "".join(c for c, m in zip(texts[r.doc_id], gone[r.doc_id]) if not m), r.doc_id
+
+
+def test_similarity_does_not_depend_on_blocks(spark):
+    common = prose(12, 50, 100_000)
+    items = [(i, f"{prose(14, 60 + i, 100_000)} {common if i % 3 else ''}".strip()) for i in range(12)]
+    rng, texts = random.Random(5), []
+    for _, t in items:
+        for edits in (1, 2, 3):
+            w = t.split()
+            for k in rng.sample(range(len(w)), edits):
+                w[k] = "changed"
+            texts.append(f"{prose(9, rng.random())} {' '.join(w)} {common}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (99, " ")], "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.matched(docs, bench, block_items=n, similarity=0.3).collect())) for n in (5000, 3))
+    assert len(one) > 10 and [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in many]
+    assert [r[2] for r in many] == pytest.approx([r[2] for r in one], rel=1e-12)
+
+
+def test_many_cells_are_raked_like_few(spark):
+    rng = np.random.default_rng(7)
+    # mostly one source to a language: raking takes over 12 rounds
+    rows = [(f"s{i}", f"l{j}", "prose", int(rng.integers(1, 50)) * (10 if i == j else 1)) for i in range(6) for j in range(6)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    tokens = np.array([r[3] for r in rows], float)
+    codes = [np.array([sorted({r[d] for r in rows}).index(r[d]) for r in rows]) for d in range(3)]
+    powers = {"source": 0.2, "lang": 0.9, "topic": 1.0}
+    targets = []
+    for d, c in zip(mixing.DIMS, codes):
+        share = np.bincount(c, tokens) ** powers[d]
+        targets.append(share / share.sum())
+    weight = mixing.rake(codes, tokens, targets)
+    p = np.minimum(1, mixing.calibrate(tokens, weight, 0.5) * weight)
+    far = {tuple(r[:3]): r for r in mixing._rake_far(cells, powers, 0.5).select(*mixing.DIMS, "weight", "probability").collect()}
+    assert [far[r[:3]][3] for r in rows] == pytest.approx(weight, rel=1e-7)
+    assert [far[r[:3]][4] for r in rows] == pytest.approx(p, rel=1e-7)

@@ -10,8 +10,10 @@ weighted-shingle similarity, computed exactly, is at least ``similarity``:
 sum of the lesser over sum of the greater counts of each shingle, weighted by
 its rarity among the items.
 
-Items are used in blocks of ``block_items``, so that what a task holds is
-bounded however many items there are.
+Items are used in blocks of ``block_items``, so that a task holds the texts and
+tables of one block.  Rarity is that among all items: with several blocks a
+task also holds the counts of the shingles that several items share, 16 bytes
+each.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsentry.llm._run import tidied
-from textsentry.llm._text import Words, chunks, raw, words_of
+from textsentry.llm._text import Words, chunks, raw, sets_of, words_of
 
 WORDS = 5
 BLOCKS = 4
@@ -45,10 +47,14 @@ def signs(grams: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+#: Number of items with words; shingles that several items have, sorted, and in how many.
+Rarity = tuple[int, np.ndarray, np.ndarray]
+
+
 class Index:
-    """Items (id, text), their shingles, and block tables for each size in words."""
+    """Items (id, text), their shingles, and block tables for each size in words; ``rarity`` is needed if there are other items besides."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int):
+    def __init__(self, items: list[tuple[int, str]], radius: int, rarity: Rarity | None = None):
         self.radius = radius
         self.items: list[tuple[int, int, Counter]] = []
         for (item, _), (_, _, w) in zip(items, (x for t in items for x in words_of(pa.array([t[1] or ""], pa.string())))):
@@ -56,8 +62,11 @@ class Index:
             if len(grams):
                 self.items.append((item, len(w.hash), Counter(grams.tolist())))
         seen = Counter(g for _, _, c in self.items for g in c)
-        self.weight = {g: math.log(1 + len(self.items) / n) for g, n in seen.items()}
-        self.plain = math.log(1 + len(self.items))
+        if rarity is None:
+            shared = {g: n for g, n in seen.items() if n > 1}
+            rarity = len(self.items), np.array(sorted(shared), np.uint64), np.array([shared[g] for g in sorted(shared)], np.int64)
+        self.total, self.shared, self.counts = rarity
+        self.plain = math.log(1 + self.total)
         self.known = np.array(sorted(seen), np.uint64)
         self.small = np.zeros(1 << 20, bool)
         self.small[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -81,11 +90,15 @@ class Index:
             out[at] = self.known[place] == grams[at]
         return out
 
+    def weight(self, gram: int) -> float:
+        at = int(np.searchsorted(self.shared, np.uint64(gram)))
+        return math.log(1 + self.total / int(self.counts[at])) if at < len(self.shared) and int(self.shared[at]) == gram else self.plain
+
     def similarity(self, item: int, grams: np.ndarray) -> float:
         mine, theirs = self.items[item][2], Counter(grams.tolist())
         up = down = 0.0
         for g in mine.keys() | theirs.keys():
-            w = self.weight.get(g, self.plain)
+            w = self.weight(g)
             up += w * min(mine[g], theirs[g])
             down += w * max(mine[g], theirs[g])
         return up / down
@@ -137,11 +150,30 @@ class Index:
                 yield self.matches(words, row, similarity)
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, block_items: int) -> Iterator[list[tuple[int, str]]]:
+def _rarity(items: DataFrame) -> Rarity:
+    """Counted by Spark over all items (k, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams in sets_of(batch.column(0), WORDS):
+                # one row more for each item with words
+                n = min(1, len(grams))
+                yield pa.RecordBatch.from_arrays([pa.array([*grams.view(np.int64).tolist(), *[None] * n], pa.int64())], names=["g"])
+
+    counts = items.select("t").mapInArrow(tidied(run), "g long").groupBy("g").count().where("count > 1 or g is null").toArrow()
+    g, n = counts.column("g").combine_chunks(), counts.column("count").to_numpy()
+    whole = np.asarray(g.is_null())
+    grams = g.fill_null(0).to_numpy()[~whole].view(np.uint64)
+    order = np.argsort(grams)
+    return int(n[whole].sum()), grams[order], n[~whole][order]
+
+
+def _blocks(benchmark: DataFrame, key: str, text: str, block_items: int) -> Iterator[tuple[list[tuple[int, str]], Rarity | None]]:
     items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("length(t) > 0")
     blocks = -(-items.count() // block_items)
+    rarity = _rarity(items) if blocks > 1 else None
     for i in range(blocks):
-        yield sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i).collect()), key=str)
+        yield sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i).collect()), key=str), rarity
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, radius: int = 18, block_items: int = 5000) -> DataFrame:
@@ -154,10 +186,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     names = [key, item_key, "similarity", "at_word", "n_words"]
     schema = docs.select(key).schema.add(item_key, "long").add("similarity", "double").add("at_word", "long").add("n_words", "long")
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_key, item_text, block_items):
+    for items, rarity in _blocks(benchmark, item_key, item_text, block_items):
 
-        def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, radius)
+        def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = items, rarity: Rarity | None = rarity) -> Iterator[pa.RecordBatch]:
+            index = Index(items, radius, rarity)
             for batch in batches:
                 rows = [(i, *m) for i, found in enumerate(index.of(batch.column(1), similarity)) for m in found]
                 cols = list(zip(*rows)) or [()] * 5
@@ -170,10 +202,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8, radius: int = 18, block_items: int = 5000) -> DataFrame:
     """``docs`` without the rows that hold an item; nothing is shuffled."""
     at = docs.columns.index(text)
-    for items in _blocks(benchmark, item_key, item_text, block_items):
+    for items, rarity in _blocks(benchmark, item_key, item_text, block_items):
 
-        def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, radius)
+        def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = items, rarity: Rarity | None = rarity) -> Iterator[pa.RecordBatch]:
+            index = Index(items, radius, rarity)
             for batch in batches:
                 yield batch.filter(pa.array([not found for found in index.of(batch.column(at), similarity)], pa.bool_()))
 
