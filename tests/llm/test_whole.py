@@ -3,9 +3,10 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
-from textsentry.llm import decontaminate, suffix_dedup, toxicity
+from textsentry.llm import decontaminate, mixing, suffix_dedup, toxicity
 
 from .conftest import prose
 from .test_operators import repeated
@@ -66,3 +67,14 @@ def test_many_cells_are_raked_like_few(spark):
     far = {tuple(r[:3]): r for r in mixing._rake_far(cells, powers, 0.5).select(*mixing.DIMS, "weight", "probability").collect()}
     assert [far[r[:3]][3] for r in rows] == pytest.approx(weight, rel=1e-7)
     assert [far[r[:3]][4] for r in rows] == pytest.approx(p, rel=1e-7)
+
+
+def test_anchors_of_data_longer_than_places_have_bits(monkeypatch):
+    data = np.frombuffer(random.Random(2).randbytes(9000), np.uint8) % 3
+    data[3000:3400] = data[:400]
+    monkeypatch.setattr(suffix_dedup, "_BITS", 10)
+    lo, hi, anchor, code = suffix_dedup.anchors(data, np.array([0, len(data)]), 80)
+    top = suffix_dedup.gram_hashes(data) >> np.uint64(10)
+    want = [i + int(np.argmin(top[i : i + 49])) for i in range(len(data) - 79)]
+    assert np.repeat(anchor, hi - lo + 1).tolist() == want and (np.diff(anchor) != 0).all()
+    assert (code == suffix_dedup.gram_hashes(data)[anchor]).all()

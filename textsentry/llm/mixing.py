@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textsentry.llm._run import unit_hash, written
+from textsentry.llm._run import discard, unit_hash, written
 
 #: Topics by signs in the text; the first that fits, else "prose".
 TOPICS = {"licence": ["License", "license", "rights reserved"], "contact": ["@"], "table": [" | "]}
@@ -73,34 +73,45 @@ def calibrate(tokens: np.ndarray, weight: np.ndarray, keep_share: float) -> floa
     return high
 
 
-def _rake_far(cells: DataFrame, powers: dict[str, float], keep_share: float, rounds: int) -> DataFrame:
-    """The same where the cells are too many for the driver: margins are joined, each round is written; only sums are collected."""
+def _rake_far(cells: DataFrame, powers: dict[str, float], keep_share: float, *, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """The same where the cells are too many for the driver: margins are joined, each round is written; only sums and maxima are collected."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     targets = {}
     for d in DIMS:
         margin = cells.groupBy(F.col(d).alias("m")).agg(F.pow(F.sum("tokens"), F.lit(powers[d])).alias("p"))
         whole = margin.agg(F.sum("p")).first()[0] or 1.0
         targets[d] = written(margin.select("m", (F.col("p") / whole * total).alias("want")), "targets")
+    spark, old = cells.sparkSession, None
     cells = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
+    for _ in range(rounds if total else 0):
+        cells = cells.withColumn("off", F.lit(0.0))
         for d in DIMS:
             now = cells.groupBy(F.col(d).alias("m")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now")).join(targets[d], "m").select("m", F.when((F.col("now") > 0) & (F.col("want") > 0), F.col("want") / F.col("now")).otherwise(1.0).alias("f"))
-            cells = cells.join(now, F.col(d) == F.col("m")).withColumn("weight", F.col("weight") * F.col("f")).drop("m", "f")
-        cells = written(cells, "cells")
-    low, high = 0.0, 1 / (cells.agg(F.min("weight")).first()[0] or 1.0)
-    for _ in range(30):
-        c = (low + high) / 2
-        kept = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), c * F.col("weight")))).first()[0] or 0
-        low, high = (c, high) if kept < keep_share * total else (low, c)
+            cells = cells.join(now, F.col(d) == F.col("m")).withColumn("weight", F.col("weight") * F.col("f")).withColumn("off", F.greatest("off", F.abs(F.col("f") - 1))).drop("m", "f")
+        new = written(cells, "cells")
+        discard(spark, old)
+        old, cells = new, new.drop("off")
+        if new.agg(F.max("off")).first()[0] < tolerance:
+            break
+    least = cells.agg(F.min("weight")).first()[0] or 1.0
+    # the kept tokens grow with c along a line that bends down where a cell is full: Newton's steps from the left end at the root
+    high = 0.0 if total else 2.0**-200 / least
+    while total:
+        full = high * F.col("weight") >= 1
+        capped, slope = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("weight")))).first()
+        c = min((keep_share * total - capped) / slope, 1 / least) if slope else 1 / least
+        if c <= high * (1 + 1e-14):
+            break
+        high = c
     return cells.withColumn("probability", F.least(F.lit(1.0), high * F.col("weight")))
 
 
-def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: dict[str, list[str]] | None = None, powers: dict[str, float] | None = None, keep_share: float = 0.5, near_cells: int = 50_000, rounds: int = 12, seed: int = 4) -> DataFrame:
+def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: dict[str, list[str]] | None = None, powers: dict[str, float] | None = None, keep_share: float = 0.5, near_cells: int = 50_000, seed: int = 4) -> DataFrame:
     """``__row`` (all columns of ``docs``), topic, n_tokens, weight, probability, kept and mix_weight.
 
     A null source or language is a value of its own.  Equal rows are kept or
     not together.  Up to ``near_cells`` cells (counted first) are raked on the
-    driver and broadcast; more stay a table, with ``rounds`` rounds.  Texts
+    driver and broadcast; more stay a table, with the same rounds.  Texts
     without words weigh nothing in the targets but are sampled like their cell.
     """
     powers = powers or POWERS
@@ -122,7 +133,7 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
         schema = T.StructType([*(T.StructField(d, T.StringType()) for d in DIMS), T.StructField("weight", T.DoubleType()), T.StructField("probability", T.DoubleType())])
         factors = F.broadcast(docs.sparkSession.createDataFrame([(*r[:3], float(w), float(q)) for r, w, q in zip(rows, weight, p)], schema))
     else:
-        factors = _rake_far(cells, powers, keep_share, rounds).select(*DIMS, "weight", "probability")
+        factors = _rake_far(cells, powers, keep_share).select(*DIMS, "weight", "probability")
     out = wide.join(factors, list(DIMS))
     back = lambda c: F.when(F.col(c) != none, F.col(c)).alias(c)
     return out.select("__row", back("source"), back("lang"), "topic", "n_tokens", "weight", "probability", (F.col("__u") < F.col("probability")).alias("kept"), (F.col("weight") / F.col("probability")).alias("mix_weight"))
