@@ -61,6 +61,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _least(h: np.ndarray, want: int) -> np.ndarray:
+    """Place of the least of ``want`` hashes from each place on, the leftmost of equals."""
+    mask = np.uint64((1 << _BITS) - 1)
+    low = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
+    span = 1
+    while 2 * span <= want:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < want:
+        low = np.minimum(low[: len(low) - (want - span)], low[want - span :])
+    return (low & mask).astype(np.int64)
+
+
 def anchors(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor, anchor's hash) of runs of windows that have the same anchor.
 
@@ -71,16 +84,10 @@ def anchors(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.ndar
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, np.zeros(0, np.uint64)
-    h = gram_hashes(data)
-    mask = np.uint64((1 << _BITS) - 1)
-    low = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
-    span, want = 1, length - GRAM + 1
-    while 2 * span <= want:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < want:
-        low = np.minimum(low[: len(low) - (want - span)], low[want - span :])
-    anchor = (low & mask).astype(np.int64)
+    h, want = gram_hashes(data), length - GRAM + 1
+    # places have _BITS bits: longer data is done in pieces that overlap by a window
+    step = (1 << _BITS) - want + 1
+    anchor = np.concatenate([_least(h[a : a + step + want - 1], want) + a for a in range(0, len(h) - want + 1, step)])
     row_end = np.repeat(borders[1:], np.diff(borders))[: len(anchor)]
     good = np.arange(len(anchor)) + length <= row_end
     first = good.copy()
