@@ -119,12 +119,12 @@ def duplicated(seed):
 def test_suffix_dedup(spark, hot):
     texts = duplicated(5)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    gone = repeated([t.encode() for t in texts], 80, "none")
-    for r in suffix_dedup.digests(docs, length=80, hot=hot).collect():
+    gone, again = (repeated([t.encode() for t in texts], n, "none") for n in (120, 70))
+    for r in suffix_dedup.digests(docs, length=120, least=70, hot=hot).collect():
         marks, body = gone[r.doc_id], texts[r.doc_id].encode()
         spans = sum(m and (k == 0 or not marks[k - 1]) for k, m in enumerate(marks))
         left = bytes(b for b, m in zip(body, marks) if not m)
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(body), sum(marks), spans, hashlib.sha256(left).hexdigest()), r.doc_id
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) == (len(body), sum(marks), spans, hashlib.sha256(left).hexdigest(), sum(again[r.doc_id])), r.doc_id
 
 
 @pytest.mark.parametrize("hot", [512, 2])
@@ -138,16 +138,48 @@ def test_suffix_dedup_keeps_first(spark, hot):
             assert r.text.encode() == bytes(b for b, m in zip(body, gone[r.doc_id]) if not m), r.doc_id
 
 
-def test_suffix_order_and_factors():
-    text = np.frombuffer(b"banana_bandana", np.uint8)
-    starts = np.arange(len(text) - 2)
-    order, same = suffix_dedup.suffix_order(text, starts, 3)
-    cut = [text[i : i + 3].tobytes() for i in order]
-    assert cut == sorted(cut) and same.tolist() == [False, *(a == b for a, b in zip(cut, cut[1:]))]
-    previous, following = suffix_dedup.factors(order, same)
-    seen = [text[i : i + 3].tobytes() for i in starts]
-    assert previous.tolist() == [x in seen[:i] for i, x in enumerate(seen)]
-    assert following.tolist() == [x in seen[i + 1 :] for i, x in enumerate(seen)]
+def shared(a, b, most):
+    n = 0
+    while n < min(len(a), len(b), most) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcd"])
+def test_longest_factors(alphabet):
+    rng = random.Random(len(alphabet))
+    for _ in range(60):
+        text, most = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))), rng.randrange(1, 20)
+        padded = np.concatenate((np.frombuffer(text.encode(), np.uint8) + 1, np.zeros(most, np.uint8)))
+        starts = np.arange(len(text))
+        order, common = suffix_dedup.suffix_array(padded, starts, np.minimum(most, len(text) - starts), most)
+        ends = [text[i : i + most] for i in order]
+        assert ends == sorted(ends)
+        assert common.tolist() == [0, *(shared(a, b, most) for a, b in zip(ends, ends[1:]))]
+        previous, following = suffix_dedup.longest_factors(order, common)
+        best = lambda i, others: max((shared(text[i:], text[j:], most) for j in others), default=0)
+        assert previous.tolist() == [best(i, range(i)) for i in starts]
+        assert following.tolist() == [best(i, range(i + 1, len(text))) for i in starts]
+
+
+def test_longest_factors_of_a_long_text():
+    data = np.random.default_rng(1).integers(1, 5, 30_000).astype(np.uint8)
+    data[20_000:20_500] = data[100:600]
+    order, common = suffix_dedup.suffix_array(np.concatenate((data, np.zeros(400, np.uint8))), np.arange(30_000), np.minimum(400, 30_000 - np.arange(30_000)), 400)
+    previous, following = suffix_dedup.longest_factors(order, common)
+    assert np.flatnonzero(previous >= 240).tolist() == list(range(20_000, 20_261))
+    assert following[100] == previous[20_000] == 400
+
+
+def test_short_spans_stay_unless_they_have_many_words(spark):
+    rng = random.Random(11)
+    common, rare = (sep.join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n)) for sep, n in ((" ", 60), ("", 75)))
+    parts = [prose(60, i, 100_000) for i in range(4)]
+    docs = spark.createDataFrame([(0, f"{parts[0]} {common} {parts[1]} {rare}"), (1, f"{parts[2]} {common} {parts[3]} {rare}")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(docs, length=100, over_words=50).collect()}
+    assert common in got[0] and common not in got[1] and rare in got[0] and rare in got[1]
+    got = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(docs, length=100, over_words=50, always=120).collect()}
+    assert rare in got[0] and rare not in got[1]
 
 
 def test_decontaminate(spark):
@@ -190,7 +222,7 @@ def test_rake_and_calibrate():
     w = mixing.rake(codes, tokens, targets)
     for c, t in zip(codes, targets):
         assert np.bincount(c, tokens * w) / (tokens * w).sum() == pytest.approx(t, abs=1e-6)
-    c = mixing.calibrate(tokens, w, 0.4)
+    c = mixing.calibrate(lambda c: (tokens[c * w >= 1].sum(), (tokens * w)[c * w < 1].sum()), tokens.sum(), 1 / w.min(), 0.4)
     assert (tokens * np.minimum(1, c * w)).sum() == pytest.approx(0.4 * tokens.sum())
 
 
@@ -209,7 +241,24 @@ def test_mixing(spark):
     kept = near.where("kept").agg(F.sum("n_tokens")).first()[0] / near.agg(F.sum("n_tokens")).first()[0]
     assert kept == pytest.approx(0.5, abs=0.04)
     p = {r[0].doc_id: r[1] for r in near.select("__row", "probability").collect()}
-    assert all(r[1] == pytest.approx(p[r[0].doc_id], rel=1e-3) for r in far.select("__row", "probability").collect())
+    assert all(r[1] == pytest.approx(p[r[0].doc_id], rel=1e-9) for r in far.select("__row", "probability").collect())
+
+
+@pytest.mark.parametrize("near", [1000, 0])
+def test_mixing_to_given_targets(spark, near):
+    rng = random.Random(3)
+    rows = [(i, prose(rng.randrange(5, 30), i), rng.choice(["en", "fr", None, "", "x"]), rng.choice("ab"), rng.choice("pq"), 1.5) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string, mix_weight double")
+    targets = {"lang": {"en": 3, "fr": 1, None: 1, "": 0.5, "nowhere": 7}, "topic": {"p": 0.75, "q": 0.25}}
+    out = mixing.mixed(docs, topic="subject", targets=targets, near_cells=near).cache()
+    got = {r[0]: r[1] for r in out.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("weight"))).collect()}
+    total = sum(got.values())
+    assert {k: x / total for k, x in got.items()} == pytest.approx({"en": 3 / 5.5, "fr": 1 / 5.5, None: 1 / 5.5, "": 0.5 / 5.5, "x": 0})
+    got = {r[0]: r[1] for r in out.groupBy("topic").agg(F.sum(F.col("n_tokens") * F.col("weight"))).collect()}
+    assert got["p"] / total == pytest.approx(0.75)
+    assert out.where("lang = 'x' and (kept or mix_weight is not null)").count() == 0
+    again = mixing.sampled(mixing.sampled(docs, topic="subject", targets=targets, near_cells=near), near_cells=near)
+    assert again.columns == ["doc_id", "text", "lang", "source", "subject", "mix_topic", "mix_weight"] and again.count() > 300
 
 
 def test_kneser_ney(spark):

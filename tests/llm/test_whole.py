@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from textsentry.llm import decontaminate, mixing, suffix_dedup, toxicity
+from textsentry.llm._run import Scope
 
 from .conftest import prose
 from .test_operators import repeated
@@ -63,10 +64,11 @@ def test_many_cells_are_raked_like_few(spark):
         share = np.bincount(c, tokens) ** powers[d]
         targets.append(share / share.sum())
     weight = mixing.rake(codes, tokens, targets)
-    p = np.minimum(1, mixing.calibrate(tokens, weight, 0.5) * weight)
-    far = {tuple(r[:3]): r for r in mixing._rake_far(cells, powers, 0.5).select(*mixing.DIMS, "weight", "probability").collect()}
-    assert [far[r[:3]][3] for r in rows] == pytest.approx(weight, rel=1e-7)
-    assert [far[r[:3]][4] for r in rows] == pytest.approx(p, rel=1e-7)
+    near, far = ({tuple(r[:3]): r for r in found.collect()} for found in (mixing._rake_near(cells, powers, 0.5, {}), mixing._rake_far(Scope(spark), cells, powers, 0.5, {})))
+    assert [near[r[:3]][3] for r in rows] == pytest.approx(weight, rel=1e-12)
+    assert [far[r[:3]][3] for r in rows] == pytest.approx(weight, rel=1e-9)
+    assert [far[r[:3]][4] for r in rows] == pytest.approx([near[r[:3]][4] for r in rows], rel=1e-9)
+    assert sum(r[3] * near[r[:3]][4] for r in rows) == pytest.approx(tokens.sum() / 2)
 
 
 def test_anchors_of_data_longer_than_places_have_bits(monkeypatch):

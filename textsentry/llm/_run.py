@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a session on one machine that names none (tests) gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textsentry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,34 +36,61 @@ def local_path(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-#: Tables written in this process and not yet discarded, by path.
-_tables: dict[str, str] = {}
+#: Where scopes opened in this thread are listed, inside of :func:`opened`.
+_listed: ContextVar[list[Scope] | None] = ContextVar("scopes", default=None)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _tables[path] = label
-    out = spark.read.schema(df.schema).parquet(path)
-    out._path = path
-    return out
+class Scope:
+    """The tables that one call writes to the shared folder; calls do not see each other's."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+        if (listed := _listed.get()) is not None:
+            listed.append(self)
 
-def discard(spark: SparkSession, *frames: DataFrame | str | None) -> None:
-    """Delete written tables, given as :func:`written` returned them or by path, once nothing reads them any more."""
-    for frame in frames:
-        path = frame if isinstance(frame, str) else getattr(frame, "_path", None)
-        if path in _tables:
-            del _tables[path]
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it back: cuts the lineage, survives lost executors."""
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        self.paths.add(path)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
 
+    def drop(self, *frames: DataFrame | str | None) -> None:
+        """Delete tables of this scope, as :meth:`written` returned them or by path, that nothing reads any more."""
+        for frame in frames:
+            path = frame if isinstance(frame, str) else getattr(frame, "_path", None)
+            if path in self.paths:
+                self.paths.discard(path)
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-def tables() -> list[str]:
-    """Paths of the tables that are still there."""
-    return list(_tables)
+    def owned(self, df: DataFrame, *behind: DataFrame) -> DataFrame:
+        """``df``, the result of the call, once all tables but those ``behind`` it are deleted."""
+        stay = {getattr(f, "_path", None) for f in behind}
+        self.drop(*(self.paths - stay))
+        df._scope = self
+        return df
+
+    def close(self) -> None:
+        self.drop(*self.paths)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the tables behind the result of an operator, once it has been read for the last time."""
+    if scope := getattr(df, "_scope", None):
+        scope.close()
+
+
+@contextmanager
+def opened() -> Iterator[list[Scope]]:
+    """The scopes that this thread opens inside of the block; whoever needs their tables no more closes them."""
+    token = _listed.set([])
+    try:
+        yield _listed.get()
+    finally:
+        _listed.reset(token)
 
 
 def remainder(key: Column, mod: int) -> Column:

@@ -32,7 +32,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import discard, tidied, unit_hash, written
+from textsentry.llm._run import Scope, tidied, unit_hash
 from textsentry.llm._text import sets_of
 from textsentry.llm.components import components
 
@@ -125,15 +125,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstd.ZstdDecompressor().decompress
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        kept: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
 
         def of(doc: int, packed: bytes) -> np.ndarray:
-            if doc not in kept:
-                kept[doc] = next(sets_of(pa.array([unpack(packed).decode()], pa.string()), words))
+            which = doc, hash(packed)
+            if which not in kept:
+                kept[which] = next(sets_of(pa.array([unpack(packed).decode()], pa.string()), words))
                 if len(kept) > 64:
                     kept.popitem(last=False)
-            kept.move_to_end(doc)
-            return kept[doc]
+            kept.move_to_end(which)
+            return kept[which]
 
         for batch in batches:
             a, b, x, y = batch.columns
@@ -149,7 +150,8 @@ def _candidates(entries: DataFrame, leaders: int, small: int, percent: int, seed
     """Distinct pairs (a < b) of group members and their group's leaders which stand in different components and pass the filters."""
     rate = F.when(F.col("members") <= small, 1.0).otherwise(leaders / F.col("members"))
     lead = entries.where(unit_hash(F.col("id"), seed=seed) < rate).select("g", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("lead_pos"), F.col("label").alias("lead_label"))
-    both = entries.join(lead, "g").where("id <> lead and label <> lead_label")
+    # merged, not broadcast: the rows of a frequent shingle can then be split over tasks
+    both = entries.hint("merge").join(lead, "g").where("id <> lead and label <> lead_label")
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("lead_pos")) >= percent * (F.col("n") + F.col("m")))
     return both.where(fits).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
@@ -163,58 +165,65 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
 
     Null and empty texts and texts without words have no shingles and link
     with nothing: their component and class are their own id.  A text of fewer
-    than ``words`` words has one shingle.  Ids are integers; rows that repeat
-    an id stand for one document with several texts; a row without an id gets
-    the component of its text if another row has that, else null.
+    than ``words`` words has one shingle.  Ids are integers.  Rows that repeat
+    an id are one document with several texts: it links with what any of them
+    links with.  A row without an id gets the component of its set if another
+    row has that, else null.
     """
-    spark = docs.sparkSession
-    rows = written(_prefixes(docs, key, text, words, percent, document_counts(docs, text, words)), "sets")
-    members = written(rows.select("id", "s1", "s2", "n"), "members")
-    classes = members.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("class_id"))
-    firsts = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("id", "n", "prefix", "often"), "id").alias("r")).select("r.*")
+    scope = Scope(docs.sparkSession)
+    rows = scope.written(_prefixes(docs, key, text, words, percent, document_counts(docs, text, words)), "sets")
+    members = scope.written(rows.select("id", "s1", "s2", "n"), "members")
+    named = rows.where("n > 0 and id is not null")
+    classes = scope.written(named.groupBy("s1", "s2").agg(F.min("id").alias("class_id")), "classes")
+    firsts = named.groupBy("s1", "s2").agg(F.min_by(F.struct("id", "n", "prefix", "often"), "id").alias("r")).select("r.*")
     # size and place in one number: this is the largest shuffle
     every = firsts.select("id", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select(F.col("e.prefix").alias("g"), "id", (F.col("n") * (1 << 32) + F.col("pos")).alias("np"), F.col("e.often").alias("often"))
     # a frequent shingle surely has several members; its group is not brought together to count them
     rare = every.where("not often").drop("often").withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1").drop("c")
     entries = rare.unionByName(every.where("often").drop("often"))
-    found_twice = written(entries.select("g", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("pos")), "entries")
-    discard(spark, rows)
-    entries = found_twice
-    sizes = entries.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
-    entries = written(entries.join(sizes, "g").withColumn("label", F.col("id")), "entries")
-    discard(spark, found_twice)
-    texts = written(_packed(docs, key, text).dropna(subset=["doc"]).join(entries.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    edges, found, leaders, largest = None, None, 4, entries.agg(F.max("members")).first()[0] or 0
-    open_groups, tested = entries, None
+    found_twice = scope.written(entries.select("g", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("pos")), "entries")
+    scope.drop(rows)
+    sizes = scope.written(found_twice.groupBy("g").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    entries = scope.written(found_twice.hint("merge").join(sizes, "g").withColumn("label", F.col("id")), "entries")
+    scope.drop(found_twice, sizes)
+    texts = scope.written(_packed(docs, key, text).dropna(subset=["doc"]).join(entries.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc", "packed"]), "texts")
+    # texts of one id are one document: the classes of its texts are joined
+    classed = members.where("n > 0 and id is not null").join(classes, ["s1", "s2"]).groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.collect_set("class_id").alias("all"))
+    edges = classed.where("a < b").select("a", F.explode("all").alias("b")).where("a < b")
+    leaders, largest = 4, entries.agg(F.max("members")).first()[0] or 0
+    open_groups, tested, found, done = entries, None, None, []
     while True:
         pairs = _candidates(open_groups, leaders, small, percent, seed=leaders)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        done = written(_verified(pairs, texts, words, percent), "pairs")
-        tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        fresh = done.where("linked").select("a", "b")
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        found = components(edges)
+        done.append(scope.written(_verified(pairs, texts, words, percent), "pairs"))
+        tested = done[-1].select("a", "b") if tested is None else tested.unionByName(done[-1].select("a", "b"))
+        edges = edges.unionByName(done[-1].where("linked").select("a", "b"))
+        found, before = components(edges, scope=scope), found
+        scope.drop(before)
         if largest <= max(small, leaders):
             break
         large = _labelled(open_groups.where(F.col("members") > max(small, leaders)), found)
         mixed = large.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-        open_groups, before = written(large.join(mixed, "g"), "entries"), open_groups
-        discard(spark, before)
+        open_groups, before = scope.written(large.join(mixed, "g"), "entries"), open_groups
+        scope.drop(before)
         largest = open_groups.agg(F.max("members")).first()[0] or 0
         if not largest:
             break
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         leaders *= 8
-    discard(spark, open_groups, texts)
+    scope.drop(open_groups, texts, *done)
     named = classes.join(found, F.col("class_id") == F.col("node"), "left").select("s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = members.where("n > 0").join(named, ["s1", "s2"], "left").select("id", "n", "component_id", "class_id")
     out = out.unionByName(members.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("class_id")))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id")
+    return scope.owned(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id"), members, classes, found)
 
 
 def kept_firsts(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; rows that share the least id stay, as do rows without an id."""
     key = str(options.get("key", "doc_id"))
-    drop = similar(docs, **options).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("__drop")).distinct()
-    return docs.join(drop, F.col(key) == F.col("__drop"), "left_anti")
+    found = similar(docs, **options)
+    drop = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("__drop")).distinct()
+    out = docs.join(drop, F.col(key) == F.col("__drop"), "left_anti")
+    out._scope = found._scope
+    return out

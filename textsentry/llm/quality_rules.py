@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import written
+from textsentry.llm._run import Scope
 
 #: Fixed by the contract: what separates words, and what counts as a symbol.
 SPACES = " \t\n\x0b\f\r"
@@ -144,5 +144,6 @@ def judged(measures: DataFrame, *, rules: dict[str, Column] | None = None, least
 
 def accepted(docs: DataFrame, *, text: str = "text", **options: object) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged.  Rows and measures are written once and read twice."""
-    rows = written(measured(docs, keep=(F.struct("*").alias("__row"),), text=text), "measured")
-    return judged(rows, **options).where("kept").select("__row.*")
+    scope = Scope(docs.sparkSession)
+    rows = scope.written(measured(docs, keep=(F.struct("*").alias("__row"),), text=text), "measured")
+    return scope.owned(judged(rows, **options).where("kept").select("__row.*"), rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textsentry._ship import ship
 from textsentry.llm import decontaminate, kneser_ney, langid, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity, url_rules
-from textsentry.llm._run import remainder, table, written
+from textsentry.llm._run import Scope, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,9 +49,11 @@ i AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY
 g AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM i),
 s AS (SELECT doc_id, min(k) AS a, max(k) + 400 AS b FROM g GROUP BY doc_id, g),
 t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+again AS (SELECT doc_id, md5(substr(x, 2 * k + 1, 480)) AS f, k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 239)) AS k FROM p WHERE length(x) >= 480)),
+c AS (SELECT doc_id, sum(least(240, after - k)) AS repeated FROM (SELECT doc_id, k, coalesce(lead(k) OVER (PARTITION BY doc_id ORDER BY k), k + 240) AS after FROM again SEMI JOIN (SELECT f FROM again GROUP BY f HAVING count(*) > 1) USING (f)) GROUP BY doc_id),
 u AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM t JOIN p USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM p LEFT JOIN u USING (doc_id)
+sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeated FROM p LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
@@ -126,6 +128,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measures = written(quality_rules.measured(table(spark, sf_dir, "documents")), "quality")
+    scope = Scope(spark)
+    measures = scope.written(quality_rules.measured(table(spark, sf_dir, "documents")), "quality")
     out = quality_rules.judged(measures)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return scope.owned(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"), measures)

@@ -2,28 +2,35 @@
 
 A byte goes if a string of ``length`` bytes over it also starts elsewhere, in
 the same text or another.  With ``keep="none"`` every such byte goes, with
-``keep="first"`` the earliest occurrence stays (by id, then place).
-
-No suffix array of a whole corpus fits one machine, so the windows of
-``length`` bytes are dealt by content.  A window's anchor is its least hash of
-32 bytes; equal windows have equal anchors at the same place, so all matches of
-a window lie in its anchor's group.  Neighbouring windows with one anchor form
-a segment.
+``keep="first"`` the earliest occurrence stays (by id, then place).  Several
+lengths can be asked for at once; ``least`` is the shortest, ``most`` the
+longest of them.
+
+No suffix array of a whole corpus fits one machine, so the places where a
+string may start are dealt by content.  A place's anchor is the least hash of
+``GRAM`` bytes in the ``least`` bytes from it on; strings that agree for
+``least`` bytes have equal anchors at the same distance, so all that a place
+can match lies in its anchor's group.  Neighbouring places with one anchor form
+a segment, which has the bytes from its first place to ``most`` bytes after its
+last.
 
 1. Anchors that occur once are dropped.
 2. Segments equal in all bytes are one kind; a kind that occurs twice repeats
    whole, without looking at its text again.
-3. Anchors with several kinds get the kinds' bytes.  A suffix array over them
-   is cut at ``length``; previous and next smaller positions in suffix order
-   give each window's longest previous and next factor, cut there too.
+3. Anchors with several kinds get the kinds' bytes.  The suffix array of a
+   group's places, compared for ``most`` bytes, gives the longest common
+   prefixes of neighbours; previous and next smaller positions in suffix order
+   give each place's longest previous factor, previous and next greater ones
+   its longest next factor.  A place repeats for a length that its factor
+   reaches.
 4. Groups of more than ``hot`` kinds, which one task should not hold, are dealt
-   anew by blocks of ``BLOCK`` neighbouring windows: equal windows lie in blocks
-   with equal cores (the bytes that all windows of the block have).  Steps 2 and
-   3 follow for these; blocks of groups still too large are dealt by whole
-   windows, which are counted in a partial aggregation.
+   anew for each length by blocks of ``BLOCK`` neighbouring places: strings that
+   agree lie in blocks with equal cores (the bytes that all strings of the
+   block have).  Step 2 follows for these; blocks of several kinds are dealt by
+   whole strings, which are counted in a partial aggregation.
 
-Hashes are 64 bits long (windows in step 4: 128); texts are told apart by
-64-bit hashes.
+Anchors and kinds have 64 bits each and are compared together; texts are told
+apart by the 128 bits of their MD5.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm._run import discard, tables, tidied, written
+from textsentry.llm._run import Scope, tidied
 from textsentry.llm._text import chunks, mix, raw
 
 #: Stands for a null id: such rows come last.
@@ -100,11 +107,22 @@ def anchors(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.ndar
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(body).alias("t"), body.alias("body"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("t"), body.alias("body"))
+
+
+def _place(t: pa.Array, lo: np.ndarray) -> np.ndarray:
+    """A number below 2**62 for each text and place."""
+    head = np.array([int.from_bytes(x[:8]) for x in t.to_pylist()], np.uint64)
+    return (mix(head + mix(lo.astype(np.uint64) + np.uint64(1))) >> np.uint64(2)).astype(np.int64)
 
 
-def _segments(rows: DataFrame, length: int) -> DataFrame:
-    """id, t, lo and hi (first and last window), anchor, kind; ``many`` if the kind occurs again in the text, of which this is the first place."""
+def _segments(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """id, t, lo and hi (first and last place), end of its bytes, anchor, kind.
+
+    Of a kind that occurs several times in a text, the first place stands for
+    all.  ``p`` and ``q`` are a number of text and place, differing by one if
+    it stands for several: a kind occurs once if the least p is the greatest q.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,22 +131,26 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
                 base = off[a]
                 text = data[base : off[b]]
                 at = off[a : b + 1] - base
-                lo, hi, anchor, code = anchors(text, at, length)
-                whole = text.tobytes()
-                kind = np.fromiter((xxhash.xxh3_64_intdigest(whole[x : y + length], p - x) for x, y, p in zip(lo.tolist(), hi.tolist(), anchor.tolist())), np.uint64, len(lo))
+                lo, hi, anchor, code = anchors(text, at, least)
                 row = np.searchsorted(at, lo, "right") - 1
+                end = np.minimum(hi + most, at[row + 1])
+                whole = text.tobytes()
+                kind = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:z], (p - x) << 20 | (y - x)) for x, y, z, p in zip(lo.tolist(), hi.tolist(), end.tolist(), anchor.tolist())), np.uint64, len(lo))
                 order = np.lexsort((lo, kind, code, row))
                 same = (row[order][1:] == row[order][:-1]) & (code[order][1:] == code[order][:-1]) & (kind[order][1:] == kind[order][:-1])
                 first = np.concatenate(([True], ~same))[: len(order)]
                 many = np.concatenate((same, [False]))[: len(order)]
                 take, many = order[first], many[first]
                 src = pa.array(row[take] + a)
+                start = at[row[take]]
+                t = batch.column(1).take(src)
+                p = _place(t, lo[take] - start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(src), batch.column(1).take(src), pa.array((lo[take] - at[row[take]]).astype(np.int32)), pa.array((hi[take] - at[row[take]]).astype(np.int32)), pa.array(code[take].view(np.int64)), pa.array(kind[take].view(np.int64)), pa.array(many)],
-                    names=["id", "t", "lo", "hi", "anchor", "kind", "many"],
+                    [batch.column(0).take(src), t, *(pa.array((x[take] - start).astype(np.int32)) for x in (lo, hi, end)), pa.array(code[take].view(np.int64)), pa.array(kind[take].view(np.int64)), pa.array(p), pa.array(p + many)],
+                    names=["id", "t", "lo", "hi", "end", "anchor", "kind", "p", "q"],
                 )
 
-    return rows.mapInArrow(tidied(run), "id long, t long, lo int, hi int, anchor long, kind long, many boolean")
+    return rows.mapInArrow(tidied(run), "id long, t binary, lo int, hi int, end int, anchor long, kind long, p long, q long")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -137,31 +159,57 @@ def _packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x.as_py().encode()) for x in batch.column(2)], pa.binary())], names=["id", "t", "packed"])
 
-    return rows.mapInArrow(tidied(run), "id long, t long, packed binary")
+    return rows.mapInArrow(tidied(run), "id long, t binary, packed binary")
+
 
+def suffix_array(text: np.ndarray, starts: np.ndarray, room: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array of ``starts``, longest common prefix of each entry with the one before).
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into ``starts`` in the order of their suffixes, cut at ``length`` bytes, and whether each equals the one before; equals keep their order."""
-    views = np.lib.stride_tricks.sliding_window_view(text, length)[starts]
-    keys = np.ascontiguousarray(views).view(f"S{length}").ravel()
-    order = np.argsort(keys, kind="stable")
-    same = np.zeros(len(order), bool)
+    A suffix has ``room`` bytes and is compared for ``most`` at most.  ``text``
+    is padded: beyond a suffix's room it has zeros, which occur nowhere else.
+    Equal suffixes keep their order.
+    """
+    views = np.lib.stride_tricks.sliding_window_view(text, most)[starts]
+    order = np.argsort(np.ascontiguousarray(views).view(f"S{most}").ravel(), kind="stable")
     ranked = views[order]
-    same[1:] = (ranked[1:] == ranked[:-1]).all(axis=1)
-    return order, same
+    common = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        differ = ranked[1:] != ranked[:-1]
+        length = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+        common[1:] = np.minimum(length, np.minimum(room[order][1:], room[order][:-1]))
+    return order, common
 
 
-def factors(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(has a longest previous factor of full length, has a next one) for each start.
+def _to_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each entry of a suffix array with the previous one of a smaller position; 0 if none shares any.
 
-    Starts are numbered in text order, so in suffix order the previous smaller
-    position that shares the full length is the entry before, if it is equal;
-    an entry's later occurrences follow it.
+    All entries step to the left at once, each by what the entry it stands at
+    has stepped over already.
+    """
+    jump, low = np.arange(len(position)) - 1, common.copy()
+    going = np.flatnonzero(low > 0)
+    while True:
+        going = going[(low[going] > 0) & (position[jump[going]] > position[going])]
+        if not len(going):
+            return low
+        at = jump[going]
+        low[going], jump[going] = np.minimum(low[going], low[at]), jump[at]
+
+
+def longest_factors(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longest previous factor, longest next factor) of each start; starts are numbered in text order.
+
+    The longest previous factor is shared with the previous or the next entry
+    in suffix order that has a smaller position; the longest next factor with
+    the previous or the next that has a greater one.
     """
-    previous, following = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    previous[order] = same
-    following[order[:-1]] = same[1:]
-    return previous, following
+    back = np.concatenate((common[:1], common[:0:-1]))
+    found = []
+    for position in (order, -order):
+        best = np.empty(len(order), np.int64)
+        best[order] = np.maximum(_to_smaller(position, common), _to_smaller(position[::-1], back)[::-1])
+        found.append(best)
+    return found[0], found[1]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,165 +222,197 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[np.concatenate(([0], cut))], b[np.concatenate((cut - 1, [len(a) - 1]))]
 
 
-def _found(block: list[tuple], length: int, keep: str) -> tuple[list[int], list[int], list[int]]:
-    """Repeats among segments (id, t, lo, body) of whole groups: (t, start, end)."""
-    block = sorted({(x[1], x[2]): x for x in sorted(block, reverse=True)}.values())
-    text = np.frombuffer(b"".join(x[3] for x in block), np.uint8)
-    size = np.array([len(x[3]) for x in block])
-    windows = size - length + 1
-    seg = np.repeat(np.arange(len(block)), windows)
-    inside = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order, same = suffix_order(text, (np.cumsum(size) - size)[seg] + inside, length)
-    previous, following = factors(order, same)
-    gone = np.flatnonzero(previous | following if keep == "none" else previous)
-    seg, inside = seg[gone], inside[gone]
-    # windows of a segment that overlap or touch are one span
-    cut = np.flatnonzero((seg[1:] != seg[:-1]) | (inside[1:] > inside[:-1] + length)) + 1
-    a, b = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(seg) - 1]))
-    if not len(gone):
-        return [], [], []
-    lo = np.array([x[2] for x in block])
-    return [block[i][1] for i in seg[a]], (lo[seg[a]] + inside[a]).tolist(), (lo[seg[a]] + inside[b] + length).tolist()
-
-
-def _compared(slices: DataFrame, length: int, keep: str, windows: int = 40_000) -> DataFrame:
-    """(t, a, b) from slices (anchor, id, t, lo, body), sorted by anchor within partitions; whole groups at a time, several while they are small."""
+#: id, text, first place, number of places, bytes.
+Slice = tuple[int, bytes, int, int, bytes]
+
+
+def _found(block: list[Slice], lengths: tuple[int, ...], keep: str) -> list[tuple[bytes, int, int, int]]:
+    """Repeats among the places of whole groups: (t, start, end, length)."""
+    most = max(lengths)
+    block = sorted({(x[1], x[2]): x for x in block}.values(), key=lambda x: x[:3])
+    places = np.array([x[3] for x in block])
+    seg = np.repeat(np.arange(len(block)), places)
+    inside = np.arange(len(seg)) - np.repeat(np.cumsum(places) - places, places)
+    padded = np.cumsum(places + most - 1)
+    base = padded - (places + most - 1)
+    text = np.zeros(int(padded[-1]), np.uint8)
+    for at, x in zip(base.tolist(), block):
+        # no byte of UTF-8 text is 255
+        text[at : at + len(x[4])] = np.frombuffer(x[4], np.uint8) + 1
+    room = np.minimum(most, np.array([len(x[4]) for x in block])[seg] - inside)
+    order, common = suffix_array(text, base[seg] + inside, room, most)
+    common[common < min(lengths)] = 0
+    previous, following = longest_factors(order, common)
+    factor = np.maximum(previous, following) if keep == "none" else previous
+    out = []
+    for length in lengths:
+        gone = np.flatnonzero(factor >= length)
+        s, i = seg[gone], inside[gone]
+        # strings of a segment that overlap or touch are one span
+        cut = np.flatnonzero((s[1:] != s[:-1]) | (i[1:] > i[:-1] + length)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(gone)]) if len(gone) else ():
+            x = block[s[a]]
+            out.append((x[1], x[2] + int(i[a]), x[2] + int(i[b - 1]) + length, length))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        held, last = 0, None
 
-        def flush() -> pa.RecordBatch:
-            t, a, b = _found(block, length, keep)
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["t", "a", "b"])
+_SPANS = "t binary, a int, b int, length int"
+
 
+def _span_batch(spans: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*spans)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int32()))], names=["t", "a", "b", "length"])
+
+
+def _compared(slices: DataFrame, lengths: tuple[int, ...], keep: str, places: int = 40_000) -> DataFrame:
+    """Spans from slices (anchor, then those of ``Slice``), sorted by anchor within partitions; whole groups at a time, several while they are small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[Slice] = []
+        held, last = 0, None
         for batch in batches:
             for anchor, *x in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor != last and held >= windows:
-                    yield flush()
+                if anchor != last and held >= places:
+                    yield _span_batch(_found(block, lengths, keep))
                     block.clear()
                     held = 0
                 last = anchor
                 block.append(tuple(x))
-                held += len(x[3]) - length + 1
+                held += x[3]
         if block:
-            yield flush()
+            yield _span_batch(_found(block, lengths, keep))
+
+    return slices.mapInArrow(tidied(run), _SPANS)
+
 
-    return slices.mapInArrow(tidied(run), "t long, a int, b int")
+_SLICE = "anchor long, id long, t binary, lo int, n int, body binary"
 
 
-def _sliced(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted segments (id, t, segs: array of anchor, lo, hi)."""
+def _sliced(wanted: DataFrame, packed: DataFrame) -> DataFrame:
+    """Bytes of the wanted segments (id, t, segs: array of anchor, lo, hi, end, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstd.ZstdDecompressor().decompress
         for batch in batches:
             for i, t, segs, z in zip(*(c.to_pylist() for c in batch.columns)):
-                body = unpack(z)
-                n = len(segs)
-                yield pa.RecordBatch.from_arrays([pa.array([s["anchor"] for s in segs], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array([s["lo"] for s in segs], pa.int32()), pa.array([body[s["lo"] : s["hi"] + length] for s in segs], pa.binary()), pa.array([s["hot"] for s in segs], pa.bool_())], names=["anchor", "id", "t", "lo", "body", "hot"])
+                body, n = unpack(z), len(segs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s["anchor"] for s in segs], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.binary()), pa.array([s["lo"] for s in segs], pa.int32()), pa.array([s["hi"] - s["lo"] + 1 for s in segs], pa.int32()), pa.array([body[s["lo"] : s["end"]] for s in segs], pa.binary()), pa.array([s["hot"] for s in segs], pa.bool_())],
+                    names=["anchor", "id", "t", "lo", "n", "body", "hot"],
+                )
 
-    return wanted.join(packed, ["id", "t"]).select("id", "t", "segs", "packed").mapInArrow(tidied(run), "anchor long, id long, t long, lo int, body binary, hot boolean")
+    return wanted.join(packed, ["id", "t"]).select("id", "t", "segs", "packed").mapInArrow(tidied(run), f"{_SLICE}, hot boolean")
 
 
-def _blocks(slices: DataFrame, length: int) -> DataFrame:
-    """Blocks of windows of hot groups: group (hash of anchor, place and core), kind, id, t, lo, body."""
+def _blocks(slices: DataFrame, length: int, least: int) -> DataFrame:
+    """Blocks of places of hot groups: group (hash of anchor, distance and core), kind, id, t, lo, body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << _BITS) - 1)
         names = ["anchor", "kind", "id", "t", "lo", "body"]
         for batch in batches:
             out = []
-            for anchor, i, t, lo, body in zip(*(c.to_pylist() for c in batch.columns)):
-                at = int(np.argmin(gram_hashes(np.frombuffer(body, np.uint8, length)) & ~mask))
-                n = len(body) - length + 1
-                for j in range(max(0, (at - n + 1) // BLOCK), at // BLOCK + 1):
+            for anchor, i, t, lo, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+                at = int(np.argmin(gram_hashes(np.frombuffer(body, np.uint8, least)) & ~mask))
+                n = min(n, len(body) - length + 1)
+                for j in range(max(0, (at - n + 1) // BLOCK), at // BLOCK + 1) if n > 0 else ():
                     x, y = max(0, at - BLOCK * j - BLOCK + 1), min(n - 1, at - BLOCK * j)
                     part = body[x : y + length]
                     core = body[at - BLOCK * j : at - BLOCK * j - BLOCK + 1 + length]
                     group = xxhash.xxh3_64_intdigest(core, (anchor * 31 + j) & LAST) - (1 << 63)
                     out.append((group, xxhash.xxh3_64_intdigest(part, at - x) - (1 << 63), i, t, lo + x, part))
             cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], names=names)
 
-    return slices.mapInArrow(tidied(run), "anchor long, kind long, id long, t long, lo int, body binary")
+    return slices.mapInArrow(tidied(run), "anchor long, kind long, id long, t binary, lo int, body binary")
 
 
-def _hot_spans(slices: DataFrame, length: int, keep: str, hot: int) -> DataFrame:
-    """(t, a, b) from slices of hot groups."""
-    blocks = written(_blocks(slices, length), "blocks")
+def _hot_spans(scope: Scope, slices: DataFrame, length: int, least: int, keep: str, hot: int) -> DataFrame:
+    """Spans of one length from slices of hot groups."""
+    blocks = scope.written(_blocks(slices, length, least), "blocks")
     place = F.struct("t", "lo")
     kinds = blocks.groupBy("anchor", "kind").agg(F.min(F.struct("id", "t", "lo", "body")).alias("first"), F.min(place).alias("x"), F.max(place).alias("y"))
-    kinds = written(kinds.select("anchor", "kind", "first", (F.col("x") != F.col("y")).alias("twice")), "kinds")
+    kinds = scope.written(kinds.select("anchor", "kind", "first", (F.col("x") != F.col("y")).alias("twice")), "kinds")
     whole = blocks.join(kinds.where("twice").select("anchor", "kind", F.struct("first.t", "first.lo").alias("first")), ["anchor", "kind"])
     if keep == "first":
         whole = whole.where("t <> first.t or lo <> first.lo")
-    spans = whole.select("t", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("body")).alias("b"))
-    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    again = written(kinds.join(several, "anchor").select("anchor", "first.id", "first.t", "first.lo", "first.body", (F.col("n") > hot).alias("hot")), "slices")
+    spans = whole.select("t", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("body")).alias("b"), F.lit(length).alias("length"))
+    several = scope.written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    places = (F.octet_length("first.body") - (length - 1)).alias("n")
+    again = scope.written(kinds.join(several.withColumnRenamed("n", "kinds"), "anchor").select("anchor", "first.id", "first.t", "first.lo", places, "first.body", (F.col("kinds") > hot).alias("hot")), "slices")
     dealt = again.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    return spans.unionByName(_compared(dealt, length, keep)).unionByName(_windows(again.where("hot").drop("hot"), length, keep))
+    return spans.unionByName(_compared(dealt, (length,), keep)).unionByName(_strings(again.where("hot").drop("hot"), length, keep))
 
 
-def _windows(slices: DataFrame, length: int, keep: str) -> DataFrame:
-    """(t, a, b) from slices of hot groups: every window by its own hash."""
+def _strings(slices: DataFrame, length: int, keep: str) -> DataFrame:
+    """Spans from slices of hot groups: every string by its own hash of 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, i, t, lo, body in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(body) - length + 1
+            for _, i, t, lo, n, body in zip(*(c.to_pylist() for c in batch.columns)):
                 digests = [xxhash.xxh3_128_intdigest(body[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([(d & ((1 << 64) - 1)) - (1 << 63) for d in digests], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int32())], names=["w1", "w2", "id", "t", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([(d & ((1 << 64) - 1)) - (1 << 63) for d in digests], pa.int64()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int32())], names=["w1", "w2", "id", "t", "a"])
 
-    every = slices.mapInArrow(tidied(run), "w1 long, w2 long, id long, t long, a int")
+    every = slices.mapInArrow(tidied(run), "w1 long, w2 long, id long, t binary, a int")
     place = F.struct("t", "a")
     twice = every.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("id", "t", "a")).alias("first")).where("lo <> hi").select("w1", "w2", "first")
     out = every.join(twice, ["w1", "w2"])
     if keep == "first":
         out = out.where("t <> first.t or a <> first.a")
-    return out.select("t", "a", (F.col("a") + length).alias("b"))
+    return out.select("t", "a", (F.col("a") + length).alias("b"), F.lit(length).alias("length"))
 
 
-def repeated_spans(rows: DataFrame, length: int, keep: str, hot: int) -> DataFrame:
-    """(t, spans): for each distinct text with repeats, byte ranges to remove, unmerged; repeats of a kind inside one text are left to :func:`local_spans`, and may be all that a text with no spans has."""
-    segments = _segments(rows, length)
-    place = F.struct("t", "lo")
-    often = segments.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("many").alias("m")).where("x <> y or m").select("anchor")
-    segments = written(segments.join(often, "anchor"), "segments")
-    kinds = segments.groupBy("anchor", "kind").agg(F.min(F.struct("id", "t", "lo", "hi")).alias("first"), F.min(place).alias("x"), F.max(place).alias("y"), F.max("many").alias("m"))
-    kinds = written(kinds.select("anchor", "kind", "first", ((F.col("x") != F.col("y")) | F.col("m")).alias("twice")), "kinds")
+def _repeated(scope: Scope, rows: DataFrame, lengths: tuple[int, ...], keep: str, hot: int) -> DataFrame:
+    """(t, spans): for each distinct text with repeats, byte ranges to remove for each length, unmerged; repeats of a kind inside one text are left to :func:`local_spans`, and may be all that a text with no spans has."""
+    least, most = min(lengths), max(lengths)
+    segments = _segments(rows, least, most)
+    often = segments.groupBy("anchor").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p <> q").select("anchor")
+    segments = scope.written(segments.join(often, "anchor"), "segments")
+    kinds = segments.groupBy("anchor", "kind").agg(F.min(F.struct("id", "t", "lo", "hi", "end")).alias("first"), F.min("p").alias("p"), F.max("q").alias("q"))
+    kinds = scope.written(kinds.select("anchor", "kind", "first", (F.col("p") != F.col("q")).alias("twice")), "kinds")
     whole = segments.join(kinds.where("twice").select("anchor", "kind", "first"), ["anchor", "kind"])
     if keep == "first":
         whole = whole.where("t <> first.t or lo <> first.lo")
-    spans = whole.select("t", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")).distinct()
-    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    wanted = kinds.join(several, "anchor").select("first.id", "first.t", F.struct("anchor", "first.lo", "first.hi", (F.col("n") > hot).alias("hot")).alias("seg"))
-    slices = written(_sliced(wanted.groupBy("id", "t").agg(F.collect_list("seg").alias("segs")), _packed(rows), length), "slices")
-    dealt = slices.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.unionByName(_compared(dealt, length, keep)).unionByName(_hot_spans(slices.where("hot").drop("hot"), length, keep, hot))
+    none = F.lit(None).cast("int")
+    for i, length in enumerate(lengths):
+        each = whole.select("t", F.col("lo").alias("a"), F.least(F.col("hi") + length, "end").alias("b"), F.lit(length).alias("length")).where(F.col("b") - F.col("a") >= length)
+        spans = spans.unionByName(each) if i else each
     if keep == "first":
         # the first place of a kind is no span, though others may follow it in its text
-        none = F.lit(None).cast("int")
-        spans = spans.unionByName(segments.where("many").select("t", none.alias("a"), none.alias("b")).distinct())
-    return spans.groupBy("t").agg(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("spans"))
+        spans = spans.unionByName(segments.where("p <> q").select("t", none.alias("a"), none.alias("b"), F.lit(least).alias("length")))
+    spans = spans.distinct()
+    several = scope.written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    wanted = kinds.join(several, "anchor").select("first.id", "first.t", F.struct("anchor", "first.lo", "first.hi", "first.end", (F.col("n") > hot).alias("hot")).alias("seg"))
+    slices = scope.written(_sliced(wanted.groupBy("id", "t").agg(F.collect_list("seg").alias("segs")), _packed(rows)), "slices")
+    dealt = slices.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    spans = spans.unionByName(_compared(dealt, lengths, keep))
+    for length in lengths:
+        spans = spans.unionByName(_hot_spans(scope, slices.where("hot").drop("hot"), length, least, keep, hot))
+    return spans.groupBy("t").agg(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b", "length"))).alias("spans"))
 
 
-def local_spans(body: bytes, length: int, keep: str) -> list[tuple[int, int]]:
-    """Ranges of kinds that occur several times in one text; the first occurrence is not among them if it is to be kept."""
+def local_spans(body: bytes, lengths: tuple[int, ...], keep: str) -> list[tuple[int, int, int]]:
+    """Ranges, with their length, of kinds that occur several times in one text; the first occurrence is not among them if it is to be kept."""
     data = np.frombuffer(body, np.uint8)
-    lo, hi, anchor, code = anchors(data, np.array([0, len(data)]), length)
+    lo, hi, anchor, code = anchors(data, np.array([0, len(data)]), min(lengths))
+    end = np.minimum(hi + max(lengths), len(data))
     seen: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y, p, c) in enumerate(zip(lo.tolist(), hi.tolist(), anchor.tolist(), code.tolist())):
-        seen.setdefault((c, xxhash.xxh3_64_intdigest(body[x : y + length], p - x)), []).append(i)
+    for i, (x, y, z, p, c) in enumerate(zip(lo.tolist(), hi.tolist(), end.tolist(), anchor.tolist(), code.tolist())):
+        seen.setdefault((c, xxhash.xxh3_64_intdigest(body[x:z], (p - x) << 20 | (y - x))), []).append(i)
     out = []
     for places in seen.values():
         if len(places) > 1:
-            out += [(int(lo[i]), int(hi[i]) + length) for i in places[keep == "first" :]]
+            for i in places[keep == "first" :]:
+                for length in lengths:
+                    a, b = int(lo[i]), min(int(hi[i]) + length, int(end[i]))
+                    if b - a >= length:
+                        out.append((a, b, length))
     return out
 
 
-def union(body: bytes, spans: list[tuple[int, int]], length: int, keep: str) -> list[tuple[int, int]]:
-    spans = spans + local_spans(body, length, keep)
+def union(spans: list[tuple[int, int, int]], length: int) -> list[tuple[int, int]]:
+    """The spans of one length, merged."""
+    spans = [s for s in spans if s[2] == length]
     a, b = merged(np.array([s[0] for s in spans], np.int64), np.array([s[1] for s in spans], np.int64))
     return list(zip(a.tolist(), b.tolist()))
 
@@ -345,20 +425,29 @@ def without(body: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, body[at:]])
 
 
-def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, hot: int = 512) -> DataFrame:
-    """``key``, n_bytes, n_removed, n_spans and kept_sha256 for every row, all repeats removed.
+def _plans(scope: Scope, rows: DataFrame, lengths: tuple[int, ...], keep: str, hot: int) -> DataFrame:
+    """(t, first_id, copied, spans) of each distinct text with repeats or with copies of at least the least length, written."""
+    spans = _repeated(scope, rows, lengths, keep, hot)
+    firsts = rows.groupBy("t").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.max(F.octet_length("body")).alias("size"))
+    copied = (F.col("n") > 1) & (F.col("size") >= min(lengths))
+    plan = firsts.join(spans, "t", "left").where(F.col("spans").isNotNull() | copied)
+    out = scope.written(plan.select("t", "first_id", "size", copied.alias("copied"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int,length:int>>")).alias("spans")), "plan")
+    scope.drop(*(scope.paths - {out._path}))
+    return out
+
 
-    A null text is empty.  Texts shorter than ``length`` keep all.  Rows with
-    equal texts of at least ``length`` bytes lose all.
+def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, least: int = 240, hot: int = 512) -> DataFrame:
+    """``key``, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated for every row, all repeats removed.
+
+    n_removed, n_spans and kept_sha256 are those of strings of ``length``
+    bytes; n_repeated is the number of bytes that strings of ``least`` bytes
+    cover which also start elsewhere.  A null text is empty.  Texts shorter
+    than a length keep all.  Rows with equal texts of at least that many bytes
+    lose all.  Ids are integers or null.
     """
+    scope, lengths = Scope(docs.sparkSession), (length, least)
     rows = _rows(docs, key, text)
-    kept = set(tables())
-    spans = repeated_spans(rows, length, "none", hot)
-    scratch = set(tables()) - kept
-    spans = written(spans, "spans")
-    discard(docs.sparkSession, *scratch)
-    plain = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
-    copies = plain.where(F.col("n_bytes") >= length).groupBy("t").count().where("count > 1").select("t", F.lit(True).alias("copied"))
+    plan = _plans(scope, rows, lengths, "none", hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstd.ZstdDecompressor().decompress
@@ -366,44 +455,43 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             out = []
             for t, found, z in zip(*(c.to_pylist() for c in batch.columns)):
                 body = unpack(z)
-                spans = union(body, [(s["a"], s["b"]) for s in found], length, "none")
-                out.append((t, sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(body, spans)).hexdigest()))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["t", "removed", "spans", "kept"])
-
-    alone = spans.join(copies, "t", "left_anti")
-    cut = alone.join(_packed(rows).drop("id"), "t").select("t", "spans", "packed").mapInArrow(tidied(run), "t long, removed long, spans long, kept string")
-    out = plain.join(copies, "t", "left").join(cut, "t", "left")
-    gone = F.col("copied").isNotNull()
-    return out.select(
-        key,
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    )
-
-
-def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, hot: int = 512) -> DataFrame:
+                spans = [(s["a"], s["b"], s["length"]) for s in found] + local_spans(body, lengths, "none")
+                gone, again = union(spans, length), union(spans, least)
+                out.append((t, sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(body, gone)).hexdigest(), sum(b - a for a, b in again)))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["t", "removed", "spans", "kept", "repeated"])
+
+    alone = plan.where("not copied").select("t", F.col("first_id").alias("id"), "spans")
+    cut = alone.join(_packed(rows), ["id", "t"]).select("t", "spans", "packed").mapInArrow(tidied(run), "t binary, removed long, spans long, kept string, repeated long")
+    size = F.col("size").cast("long")
+    whole = plan.where("copied").select("t", F.when(size >= length, size).otherwise(0).alias("removed"), F.when(size >= length, 1).otherwise(0).cast("long").alias("spans"), F.when(size >= length, F.sha2(F.lit(""), 256)).alias("kept"), size.alias("repeated"))
+    # the only shuffle of rows by text, between two plain exchanges: a text that many rows share can be split
+    found = scope.written(cut.unionByName(whole), "cut")
+    scope.drop(plan)
+    body = F.coalesce(F.col(text), F.lit(""))
+    plain = docs.select(key, F.unhex(F.md5(body.cast("binary"))).alias("t"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
+    none = F.lit(0).cast("long")
+    out = plain.join(found, "t", "left").select(key, "n_bytes", F.coalesce("removed", none).alias("n_removed"), F.coalesce("spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("repeated", none).alias("n_repeated"))
+    return scope.owned(out, found)
+
+
+def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, over_words: int = 0, always: int = 400, hot: int = 512) -> DataFrame:
     """``docs`` with later occurrences removed from ``text``; the first, by id and place, stays.
 
-    A span shrinks to whole characters.  Of rows with one text the first keeps
-    it; later ones, and later copies within it, lose all that repeats; rows
-    that share both id and text count as the first alike.  A null text stays
-    null.  All other columns stay as they are.
+    With ``over_words`` a removed span must have more words than that, or
+    ``always`` bytes.  A span shrinks to whole characters.  Of rows with one
+    text the first keeps it; later ones, and later copies within it, lose all
+    that repeats; rows that share both id and text count as the first alike.
+    A null text stays null.  All other columns stay as they are.  Ids are
+    integers or null.
     """
-    kept = set(tables())
-    rows = _rows(docs, key, text)
-    spans = repeated_spans(rows, length, "first", hot)
-    firsts = rows.groupBy("t").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.max(F.octet_length("body")).alias("size"))
-    plan = firsts.join(spans, "t", "left").where((F.col("spans").isNotNull()) | ((F.col("n") > 1) & (F.col("size") >= length))).select(F.col("t").alias("__pt"), "first_id", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("__spans"))
-    before = set(tables()) - kept
-    plan = written(plan, "plan")
-    discard(docs.sparkSession, *before)
+    scope = Scope(docs.sparkSession)
+    plan = _plans(scope, _rows(docs, key, text), (length,), "first", hot)
+    wanted = plan.select(F.col("t").alias("__pt"), "first_id", F.col("spans").alias("__spans"))
     names = docs.columns
     at = names.index(text)
     # texts are compressed for the shuffle
-    packed_schema = docs.withColumn(text, F.lit(b"")).withColumn("__t", F.lit(0).cast("long")).schema
+    packed_schema = docs.withColumn(text, F.lit(b"")).withColumn("__t", F.lit(b"")).schema
     packed_schema[at].nullable = True
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +500,7 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
             texts = pa.array([None if x is None else compress(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=[*names, "__t"])
 
-    wide = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).mapInArrow(tidied(pack), packed_schema).join(plan, F.col("__t") == F.col("__pt"), "left")
+    wide = docs.withColumn("__t", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).mapInArrow(tidied(pack), packed_schema).join(wanted, F.col("__t") == F.col("__pt"), "left")
     wide = wide.withColumn("__mode", F.when(F.col("__pt").isNull(), 0).when(F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("first_id"), 1).otherwise(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,11 +511,13 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
                 if not mode or texts[i] is None:
                     continue
                 body = texts[i].encode()
-                spans = union(body, [(s["a"], s["b"]) for s in found], length, "first") if mode == 1 else [(0, len(body))] if len(body) >= length else []
+                spans = union([(s["a"], s["b"], s["length"]) for s in found] + local_spans(body, (length,), "first"), length) if mode == 1 else [(0, len(body))] if len(body) >= length else []
+                spans = [(a, b) for a, b in spans if b - a >= always or len(body[a:b].split()) > over_words]
                 texts[i] = without(body, _whole_characters(body, spans)).decode()
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(names)]], names=names)
 
-    return wide.select(*names, "__spans", "__mode").mapInArrow(tidied(run), docs.schema)
+    out = wide.select(*names, "__spans", "__mode").mapInArrow(tidied(run), docs.schema)
+    return scope.owned(out, plan)
 
 
 def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
