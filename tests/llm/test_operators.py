@@ -357,17 +357,38 @@ def test_toxicity(spark):
     assert "idiot" in got[2].restored and got[7].restored == plain
 
 
-def test_suspects_cover_the_pattern():
-    """The cheap test leaves nothing out that the pattern would restore."""
-    rng = random.Random(8)
-    for _ in range(400):
-        text = "".join(rng.choice("abco01 .-$é") for _ in range(rng.randrange(40)))
-        data = text.encode()
-        spans = toxicity._suspects(np.frombuffer(data, np.uint8))
-        model = toxicity.CharModel(collections.Counter({"abc": 3, "coca": 2}))
-        restore = toxicity.Restorer(model)
-        assert restore(text) is not None
-        assert all(0 <= a < b <= len(data) for a, b in spans)
+def readings(span, i, past, model):
+    """(cost, text) of every path."""
+    if i == len(span):
+        yield (model.cost(past, " ") if past[1] != " " else 0.0), ""
+        return
+    for state, cost, read in toxicity._ways(span, i, past, model, 0.7, 0.2, 0.1, 6.0, 0.2):
+        for more, rest in readings(span, i + 1, state, model):
+            yield cost + more, read + rest
+
+
+def test_decoding_finds_the_cheapest_reading():
+    model = toxicity.CharModel(collections.Counter({"such": 20, "an": 30, "idiot": 9, "stupid": 5, "you": 40, "well": 9, "known": 9}))
+    rng = random.Random(2)
+    for _ in range(150):
+        span = "".join(rng.choice("suchidiot1!.- $0aan") for _ in range(rng.randrange(1, 8)))
+        found = list(readings(span, 0, "  ", model))
+        least, got = min(found)[0], toxicity.decode(span, model)
+        assert any(text == got and cost == pytest.approx(least) for cost, text in found), span
+    restore = toxicity.Restorer(model)
+    for text, want in {"s u c h i d i o t": "such idiot", "such-an-idiot": "such an idiot", "you stupid-idiot": "you stupid idiot", "w.e.l.l k_n_o_w_n": "well known", "y0u $tup1d": "you stupid", "a" * 70 + "n": "an"}.items():
+        assert restore(text) == want
+
+
+def test_long_spans_and_words_are_read_whole(spark):
+    word = "antidis" * 6
+    texts = [f"{language('en', i)} {word}" if i % 4 == 0 else language("en", i) for i in range(200)]
+    tox = toxicity.train(texts, [int(i % 4 == 0) for i in range(200)], sizes=range(0))
+    score = tox.scorer()
+    assert f" {word} " in tox.weights and score(f"x {word}")[0] > 0.5 > score(f"x {word[:24]}")[0]
+    spread = ".".join(word)
+    assert score(f"x {spread}")[2] == [f" {word} "]
+    assert len(score("i." * 50_000 + "i")[1]) <= 100_001
 
 
 def brute_measures(text):

@@ -366,8 +366,10 @@ def _repeated(scope: Scope, rows: DataFrame, lengths: tuple[int, ...], keep: str
     """(t, spans): for each distinct text with repeats, byte ranges to remove for each length, unmerged; repeats of a kind inside one text are left to :func:`local_spans`, and may be all that a text with no spans has."""
     least, most = min(lengths), max(lengths)
     segments = _segments(rows, least, most)
-    often = segments.groupBy("anchor").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p <> q").select("anchor")
-    segments = scope.written(segments.join(often, "anchor"), "segments")
+    # written, and merged: the rows of a frequent anchor can then be split over tasks
+    often = scope.written(segments.groupBy("anchor").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p <> q").select("anchor"), "often")
+    segments = scope.written(segments.hint("merge").join(often, "anchor"), "segments")
+    scope.drop(often)
     kinds = segments.groupBy("anchor", "kind").agg(F.min(F.struct("id", "t", "lo", "hi", "end")).alias("first"), F.min("p").alias("p"), F.max("q").alias("q"))
     kinds = scope.written(kinds.select("anchor", "kind", "first", (F.col("p") != F.col("q")).alias("twice")), "kinds")
     whole = segments.join(kinds.where("twice").select("anchor", "kind", "first"), ["anchor", "kind"])
