@@ -339,6 +339,15 @@ def test_classifier_repeats():
     assert kinds[2][1].tolist() == [0, 3, 4]
 
 
+def test_classifier_counts_characters():
+    import pyarrow as pa
+
+    off, data = quality_classifier.raw(pa.array(["é中😀é中", "xé", "é中😀"]))
+    _, _, three, five = quality_classifier.features(off, data, 20)
+    assert three[1].tolist() == [0, 3, 3, 4] and five[1].tolist() == [0, 1, 1, 1]
+    assert three[0][0] == three[0][3] and len(set(three[0].tolist())) == 3
+
+
 def test_toxicity(spark):
     rng, bad = random.Random(4), ["moron", "pathetic", "idiot"]
     texts, toxic = [], []

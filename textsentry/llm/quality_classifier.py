@@ -1,6 +1,6 @@
-"""Supervised subword embeddings: hashed vectors of words and byte n-grams, averaged and fed to a softmax.
+"""Supervised subword embeddings: hashed vectors of words and character n-grams, averaged and fed to a softmax.
 
-Every feature of a text is a bucket: its words, its byte n-grams and a mark
+Every feature of a text is a bucket: its words, its n-grams of code points and a mark
 for each word equal to the one before.  A bucket has a learned vector; a text
 is the mean of its vectors; a softmax over the mean gives the classes.  The
 training is stochastic gradient descent in numpy on a bounded sample.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textsentry.llm._run import tidied, unit_hash
-from textsentry.llm._text import Words, chunks, mix, raw
+from textsentry.llm._text import _STEP, Words, chunks, mix, raw
 
 GRAMS = (3, 5)
 
@@ -34,13 +34,15 @@ def features(off: np.ndarray, data: np.ndarray, bits: int) -> Iterator[tuple[np.
     again[w.at[:-1][w.at[:-1] < len(again)]] = False
     # a repeat and a fresh word are one bucket each, the last two
     yield np.where(again, (1 << bits) - 1, (1 << bits) - 2), w.at
-    text = data[off[0] : off[-1]].astype(np.uint64)
-    at = off - off[0]
+    body = data[off[0] : off[-1]]
+    # the first byte of each character is none that continues one
+    at = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))[off - off[0]]
+    text = np.frombuffer(body.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
     for n in GRAMS:
         places = max(0, len(text) - n + 1)
         code = np.zeros(places, np.uint64)
         for k in range(n):
-            code = (code << np.uint64(8)) | text[k : places + k]
+            code += text[k : places + k] * _STEP[k]
         # n-grams that reach into the next row go to no row
         count = np.maximum(np.diff(at) - n + 1, 0)
         border = np.concatenate(([0], np.cumsum(count)))
