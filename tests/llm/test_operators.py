@@ -203,15 +203,50 @@ def test_decontaminate(spark):
         assert {r.doc_id for r in decontaminate.clean(docs, bench, block_items=block).collect()} == {7, 8}
 
 
-def test_hamming_blocks_find_all_within_radius():
+@pytest.mark.parametrize("radius", [0, 9, 18])
+def test_hamming_index_finds_all_within_radius(radius):
     rng = np.random.default_rng(0)
-    index = decontaminate.Index([(i, prose(20, i, 1000)) for i in range(30)], 10)
-    _, prints, table = index.sizes[20]
+    prints = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 60, dtype=np.uint64)
+    codes = []
     for p in prints:
-        for _ in range(30):
-            flips = rng.choice(64, rng.integers(0, 11), replace=False)
-            code = int(p) ^ sum(1 << int(f) for f in flips)
-            assert any(table[b, (code >> (16 * b)) & 0xFFFF] for b in range(4))
+        for _ in range(20):
+            flips = rng.choice(64, rng.integers(0, radius + 4), replace=False)
+            codes.append(int(p) ^ sum(1 << int(f) for f in flips))
+    codes = np.array(codes, np.uint64)
+    got = set(zip(*(x.tolist() for x in decontaminate.Hamming(prints, radius).pairs(codes))))
+    assert got == {(i, j) for i, c in enumerate(codes.tolist()) for j, p in enumerate(prints.tolist()) if (c ^ p).bit_count() <= radius}
+
+
+def brute_similarity(item, window, items):
+    rare = collections.Counter(g for t in items for g in shingles(t))
+    grams = lambda words: collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    weight = lambda g: math.log(1 + len(items) / max(1, rare[g]))
+    a, b = grams(item.split()), grams(window)
+    return sum(weight(g) * min(a[g], b[g]) for g in a | b) / sum(weight(g) * max(a[g], b[g]) for g in a | b)
+
+
+def test_passages_near_the_limit_are_found(spark):
+    """Against all windows, the share found of pairs whose similarity is from 0.8 to 0.9; none below is."""
+    rng, common = random.Random(4), prose(20, 8, 100_000)
+    items = [f"{prose(rng.randrange(30, 70), 700 + i, 100_000)} {common if i % 4 == 0 else ''}".strip() for i in range(40)]
+    texts, want = [], {}
+    for i, t in enumerate(items):
+        for _ in range(4):
+            w = t.split()
+            for k in rng.sample(range(len(w)), rng.choice((1, 1, 2))):
+                w[k] = f"changed{k}"
+            text = [*prose(20, rng.random(), 5000).split(), *w, *prose(20, rng.random(), 5000).split()]
+            n = len(t.split())
+            want[len(texts), i] = max(brute_similarity(t, text[s : s + n], items) for s in range(len(text) - n + 1))
+            texts.append(" ".join(text))
+    docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for x, k in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matched(docs, bench).collect()}
+    near = [k for k, v in want.items() if 0.8 <= v < 0.9]
+    assert len(near) > 30 and sum(k in got for k in near) >= 0.95 * len(near)
+    assert all(got[k] == pytest.approx(want[k]) for k in near if k in got)
+    assert not [k for k, v in want.items() if v < 0.8 and k in got]
+    with pytest.raises(ValueError, match="split"):
+        decontaminate.matched(docs, bench, most_items=10)
 
 
 def test_rake_and_calibrate():
