@@ -58,11 +58,11 @@ def test_defined_results(edges):
 
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "no scheme", "x"), (3, "no scheme", "x"), (None, "http://A.Net?x", "x"), (5, "http://a.net/", "x"), (6, "x://" + "h" * 100_000 + "/" + "p/" * 50_000, "x")], "page_id long, url string, host string")
-    bad = spark.createDataFrame([(1, None), (None, True), (2, True)], "page_id long, bad boolean")
+    bad = spark.createDataFrame([("http://a.b/c", None), (None, True), ("", True), ("x", False)], "url string, bad boolean")
     rules = [("block", "net", "/")]
-    got = sorted((r.page_id or 0, r.host[:9], r.path[:3], r.rule, r.verdict) for r in url_rules.judge(pages, rules, url_rules.mine(pages, bad)).collect())
+    got = sorted((r.page_id or 0, r.host[:9], r.path[:3], r.rule, r.verdict) for r in url_rules.judge(pages, rules, url_rules.mine(bad)).collect())
     assert got == [(0, "a.net", "", None, "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (3, "", "", None, "allow"), (5, "a.net", "/", "net/", "block"), (6, "hhhhhhhhh", "/p/", None, "allow")]
-    assert url_rules.judge(pages.limit(0), rules, url_rules.mine(pages.limit(0), bad.limit(0))).count() == 0
+    assert url_rules.judge(pages.limit(0), rules, url_rules.mine(bad.limit(0))).count() == 0
 
 
 def test_decontamination(spark, edges, nothing):

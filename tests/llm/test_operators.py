@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
@@ -485,19 +487,43 @@ def test_fixed_url_rules(spark):
     from textsentry.llm.queries import URL_RULES
 
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    for r in url_rules.judge(pages, URL_RULES, []).collect():
+    for r in url_rules.judge(pages, URL_RULES, url_rules.Mined()).collect():
         assert (r.host, r.path, r.rule, r.verdict) == brute_url(URLS[r.page_id], URL_RULES)
 
 
 def test_mined_url_rules(spark):
+    """Rules are those of a search through all combinations; they block what has all tokens of one."""
     rng = random.Random(5)
     rows = []
-    for i in range(800):
+    for i in range(1600):
         host, section = rng.choice(["shop", "news", "blog"]), rng.choice(["win", "read", "about"])
-        rows.append((i, f"http://{host}.site{i % 7}.com/{section}/{i}", host == "shop" and section == "win"))
-    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
-    bad = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 2], "page_id long, bad boolean")
-    mined = url_rules.mine(pages, bad, min_support=0.02)
-    assert (["first=shop", "path=win"], 1.0) in mined
-    got = {r.page_id: r.verdict for r in url_rules.judge(pages, [], mined).collect()}
-    assert all((got[i] == "block") == b for i, _, b in rows)
+        rows.append((i, f"http://{host}.site{i % 7}.com/{section}/{i}", rng.random() < (0.9 if host == "shop" and section == "win" else 0.1) if i % 2 else None))
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    mined = url_rules.mine(pages, min_support=0.01)
+    baskets = []
+    for r in url_rules._parts(pages.where("bad is not null"), ("bad",), "url").select("bad", "__tokens").collect():
+        baskets.append((r[0], frozenset(r[1])))
+    seen, hit = collections.Counter(), collections.Counter()
+    for b, tokens in baskets:
+        for size in range(1, len(tokens) + 1):
+            for x in itertools.combinations(sorted(tokens), size):
+                seen[x] += 1
+                hit[x] += b
+    sets = [x for x in seen if hit[x] >= 0.01 * len(baskets)]
+    share = sum(b for b, _ in baskets) / len(baskets)
+    assert (mined.pages, mined.looked_at) == (800, len(sets)) and mined.bad_share == pytest.approx(share)
+    assert mined.best_confidence == pytest.approx(max(hit[x] / seen[x] for x in sets))
+    z = statistics.NormalDist().inv_cdf(1 - 0.05 / len(sets))
+
+    def lower(c, m):
+        return (c + z * z / (2 * m) - z * math.sqrt(c * (1 - c) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+
+    good = {x: hit[x] / seen[x] for x in sets if hit[x] / seen[x] >= 1.2 * share and lower(hit[x] / seen[x], seen[x]) > share}
+    want = {x: c for x, c in good.items() if not any(set(y) < set(x) and good[y] >= c for y in good)}
+    assert {tuple(r.tokens): r.confidence for r in mined.rules} == pytest.approx(want) and ("first=shop", "path=win") in want
+    tokens = {r[0]: set(r[1]) for r in url_rules._parts(pages, ("page_id",), "url").select("page_id", "__tokens").collect()}
+    for r in url_rules.judge(pages, [], mined).collect():
+        fits = [x for x in mined.rules if set(x.tokens) <= tokens[r.page_id]]
+        assert (r.verdict, r.mined or None, r.confidence) == (("block", " ".join(fits[0].tokens), fits[0].confidence) if fits else ("allow", None, None))
+    with pytest.raises(ValueError, match="min_support"):
+        url_rules.mine(pages, min_support=0.01, most_rules=0)

@@ -121,9 +121,12 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     # a page shows the document whose number its path carries
     number = F.regexp_extract(url_rules.path_of(F.col("url")), "^/[^/]+/([0-9]{1,18})", 1)
-    shown = pages.select("page_id", number.try_cast("bigint").alias("doc_id"))
-    bad = shown.join(labels, "doc_id").select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_rules.judge(pages, URL_RULES, url_rules.mine(pages, bad))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    shown = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id").select("url", bad.alias("bad"))
+    mined = url_rules.mine(shown)
+    out = url_rules.judge(pages, URL_RULES, mined)
+    # what the rules were chosen from, as there may be none
+    return out.withColumns({"rules_mined": F.lit(len(mined.rules)), "rules_looked_at": F.lit(mined.looked_at), "bad_share": F.lit(float(mined.bad_share)), "best_confidence": F.lit(float(mined.best_confidence))})
 
 
 @query

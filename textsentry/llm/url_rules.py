@@ -2,9 +2,11 @@
 
 Fixed rules name a host and the start of a path; a rule fits its host and all
 subdomains, and the longest that fits decides.  URLs that none fits are judged
-by token combinations which FP-growth finds to go with bad labels; those are
-pruned by support, confidence and redundancy, and found through an index from
-a rule's rarest token.
+by token combinations which FP-growth finds to go with bad labels.  A
+combination becomes a rule if its confidence is well above the share of bad
+pages, by its lift and by a test that allows for the number of combinations
+looked at; those that a part of them makes redundant go.  Rules are found
+through an index from a rule's rarest token.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no tokens and the default verdict; repeated rows count each; without labels,
@@ -13,10 +15,15 @@ or without a rule that holds, all else is allowed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textsentry.llm._run import Scope
+
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "label=block"
 
@@ -47,24 +54,60 @@ def _parts(pages: DataFrame, keep: tuple[str | Column, ...], url: str) -> DataFr
     return out.withColumn("__tokens", tokens_of(F.col("__url"), F.col("host"), F.col("path")))
 
 
-def mine(pages: DataFrame, bad: DataFrame, *, key: str = "page_id", url: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> list[tuple[list[str], float]]:
-    """Token sets that go with bad pages, and their confidence, best first.
+@dataclass
+class Rule:
+    """Tokens that go together with bad pages, the share of bad ones among the pages that have all, and their number."""
+
+    tokens: list[str]
+    confidence: float
+    pages: int
+
+
+@dataclass
+class Mined:
+    """``rules``, best first; of all labelled pages the number and the share of bad ones; how many combinations were looked at, and the highest confidence of those with enough support."""
+
+    rules: list[Rule] = field(default_factory=list)
+    pages: int = 0
+    bad_share: float = 0.0
+    looked_at: int = 0
+    best_confidence: float = 0.0
+
+
+def mine(labelled: DataFrame, *, url: str = "url", bad: str = "bad", min_support: float = 0.002, min_lift: float = 1.2, chance: float = 0.05, most_rules: int = 10_000) -> Mined:
+    """Token sets that go with bad pages.
 
-    ``bad`` has (``key``, bad boolean) for some pages; a null key or flag is
-    left out.  ``min_support`` is the share of labelled pages that have the
-    set and are bad.  A set goes if a part of it has at least its confidence.
-    The number of sets depends on the support, not on the number of pages.
+    ``labelled`` has a page's ``url`` and ``bad`` (boolean; a null leaves the
+    row out).  ``min_support`` is the share of labelled pages that have the set
+    and are bad.  A rule's confidence is at least ``min_lift`` times the share
+    of bad pages, and its lower limit (Wilson's, at ``chance`` over all sets
+    looked at) lies above that share.  A set goes if a part of it has at least
+    its confidence.  More than ``most_rules`` rules, counted before any is
+    collected, are an error: ask for more support.
     """
-    marks = bad.select(F.col(key).alias("__key"), F.col("bad").alias("__bad")).dropna()
-    rows = _parts(pages, (F.col(key).alias("__page"),), url).join(marks, F.col("__page") == F.col("__key"))
-    baskets = rows.select(F.concat(F.col("__tokens"), F.when(F.col("__bad"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == LABEL) & (F.col("lift") >= min_lift))
-    kept: list[tuple[list[str], float]] = []
-    for r in sorted(found.select("antecedent", "confidence").collect(), key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
-        if not any(set(x) <= set(r[0]) and c >= r[1] for x, c in kept):
-            kept.append((sorted(r[0]), r[1]))
-    return sorted(kept, key=lambda x: (-x[1], x[0]))
+    scope = Scope(labelled.sparkSession)
+    rows = _parts(labelled.where(F.col(bad).isNotNull()), (F.col(bad).alias("__bad"),), url)
+    baskets = scope.written(rows.select("__bad", F.concat(F.col("__tokens"), F.when(F.col("__bad"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0), "baskets")
+    n, share = baskets.agg(F.count("*"), F.avg(F.col("__bad").cast("double"))).first()
+    if not n or not share:
+        scope.close()
+        return Mined(pages=n or 0)
+    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets).associationRules
+    found = found.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == LABEL)).select("antecedent", "confidence", F.round(F.col("support") * n / F.col("confidence")).cast("long").alias("pages"))
+    found = scope.written(found, "rules")
+    looked_at, best = found.agg(F.count("*"), F.max("confidence")).first()
+    z = NormalDist().inv_cdf(1 - chance / max(1, looked_at))
+    c, m = F.col("confidence"), F.col("pages")
+    lower = (c + z * z / (2 * m) - z * F.sqrt(c * (1 - c) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    found = found.where((c >= min_lift * share) & (lower > share))
+    if (kinds := found.count()) > most_rules:
+        raise ValueError(f"{kinds} rules: more than {most_rules}; raise min_support")
+    kept: list[Rule] = []
+    for r in sorted(found.collect(), key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
+        if not any(set(x.tokens) <= set(r[0]) and x.confidence >= r[1] for x in kept):
+            kept.append(Rule(sorted(r[0]), r[1], r[2]))
+    scope.close()
+    return Mined(sorted(kept, key=lambda x: (-x.confidence, x.tokens)), n, share, looked_at, best or 0.0)
 
 
 def _fixed(rules: list[tuple[str, str, str]], host: Column, path: Column) -> tuple[Column, Column]:
@@ -76,25 +119,28 @@ def _fixed(rules: list[tuple[str, str, str]], host: Column, path: Column) -> tup
     return rule, verdict
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], mined: list[tuple[list[str], float]], *, keep: tuple[str | Column, ...] = ("page_id",), url: str = "url", default: str = "allow") -> DataFrame:
-    """The ``keep`` columns, host, path, rule, verdict and ``mined``, the tokens of the mined rule that decided (else null).
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], mined: Mined, *, keep: tuple[str | Column, ...] = ("page_id",), url: str = "url", default: str = "allow") -> DataFrame:
+    """The ``keep`` columns, host, path, rule, verdict; ``mined``, ``confidence`` and ``rule_pages``: tokens, confidence and labelled pages of the mined rule that decided, else null.
 
+    Of several that fit, the rule of the highest confidence decides.
     ``rules``: (verdict, host, start of the path) each, a plan-time list.
     """
     out = _parts(pages, keep, url)
     rule, verdict = _fixed(rules, F.col("host"), F.col("path"))
-    if mined:
+    kind = "struct<place:int,tokens:array<string>,confidence:double,pages:bigint>"
+    hit = F.lit(None).cast(kind)
+    if mined.rules:
         seen: dict[str, int] = {}
-        for items, _ in mined:
-            for x in items:
+        for r in mined.rules:
+            for x in r.tokens:
                 seen[x] = seen.get(x, 0) + 1
-        index: dict[str, list[list[str]]] = {}
-        for items, _ in mined:
-            index.setdefault(min(items, key=lambda x: (seen[x], x)), []).append(items)
-        by = F.create_map(*[c for k, sets in index.items() for c in (F.lit(k), F.array(*[F.array(*map(F.lit, s)) for s in sets]))])
+        index: dict[str, list[Column]] = {}
+        for i, r in enumerate(mined.rules):
+            entry = F.struct(F.lit(i), F.array(*map(F.lit, r.tokens)), F.lit(r.confidence), F.lit(r.pages)).cast(kind)
+            index.setdefault(min(r.tokens, key=lambda x: (seen[x], x)), []).append(entry)
+        by = F.create_map(*[c for k, entries in index.items() for c in (F.lit(k), F.array(*entries))])
         reached = F.flatten(F.array_compact(F.transform(F.col("__tokens"), lambda x: F.try_element_at(by, x))))
-        out = out.withColumn("__hit", F.array_join(F.get(F.filter(reached, lambda s: F.size(F.array_except(s, F.col("__tokens"))) == 0), F.lit(0)), " "))
-    else:
-        out = out.withColumn("__hit", F.lit(None).cast("string"))
-    out = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("__hit").isNotNull(), "block").otherwise(default))})
-    return out.withColumn("mined", F.when(F.col("rule").isNull(), F.col("__hit"))).drop("__url", "__tokens", "__hit")
+        hit = F.array_min(F.filter(reached, lambda r: F.size(F.array_except(r["tokens"], F.col("__tokens"))) == 0))
+    out = out.withColumn("__hit", hit).withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("__hit").isNotNull(), "block").otherwise(default))})
+    decided = F.when(F.col("rule").isNull(), F.col("__hit"))
+    return out.withColumns({"mined": F.array_join(decided["tokens"], " "), "confidence": decided["confidence"], "rule_pages": decided["pages"]}).drop("__url", "__tokens", "__hit")
