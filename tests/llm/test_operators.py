@@ -348,6 +348,27 @@ def test_langid(spark):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[900].rejected
 
 
+def test_langid_against_all_dictionaries(spark):
+    """Leaving other scripts out changes no answer, and rare languages have their dictionary."""
+    cyrillic = str.maketrans("abcdefghiklmnoprstuvyzéw", "абцдефгхиклмнопрстувызэш")
+    rows = []
+    for i in range(160):
+        g = list(LETTERS)[i % 3]
+        rows.append((i, language(g, i), g) if i % 2 else (i, language(g, i).translate(cyrillic), f"{g}-cyr"))
+    rows += [(1000 + i, "".join(chr(0x4E00 + (i * 37 + k * k) % 90) for k in range(80)), f"rare{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.fit_dictionaries(docs)
+    assert found.keys() == {g for _, _, g in rows}
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit_dictionaries(docs, most_langs=20)
+    few = {g: d for g, d in found.items() if not g.startswith("rare")} | {g: found[g] for g in ("rare1", "rare2")}
+    classify, every = langid.Classifier(few, 3), langid.Classifier(few, 3)
+    every.tried = [list(range(len(few)))] * len(langid._SCRIPTS)
+    assert all(len(classify.tried[k]) < len(few) for k in (0, 2, 9)) and len(classify.tried[4]) == len(few)
+    assert [classify(t)[0] for _, t, _ in rows] == [every(t)[0] for _, t, _ in rows]
+    assert langid.Classifier(found, 3)(rows[-1][1])[0] == rows[-1][2]
+
+
 def test_quality_classifier(spark):
     texts = [language("en", i) if i % 3 else " ".join(w + "%%%" for w in language("en", i).split()) for i in range(240)]
     y = np.array([int(i % 3 > 0) for i in range(240)])
