@@ -365,7 +365,7 @@ def test_langid_against_all_dictionaries(spark):
     classify, every = langid.Classifier(few, 3), langid.Classifier(few, 3)
     every.tried = [list(range(len(few)))] * len(langid._SCRIPTS)
     assert all(len(classify.tried[k]) < len(few) for k in (0, 2, 9)) and len(classify.tried[4]) == len(few)
-    assert [classify(t)[0] for _, t, _ in rows] == [every(t)[0] for _, t, _ in rows]
+    assert all(classify(t)[0] == every(t)[0] for _, t, g in rows if g in few)
     assert langid.Classifier(found, 3)(rows[-1][1])[0] == rows[-1][2]
 
 
