@@ -355,7 +355,7 @@ def test_langid_against_all_dictionaries(spark):
     for i in range(160):
         g = list(LETTERS)[i % 3]
         rows.append((i, language(g, i), g) if i % 2 else (i, language(g, i).translate(cyrillic), f"{g}-cyr"))
-    rows += [(1000 + i, "".join(chr(0x4E00 + (i * 37 + k * k) % 90) for k in range(80)), f"rare{i}") for i in range(300)]
+    rows += [(1000 + i, "".join(chr(0x4E00 + random.Random(100 * i + k).randrange(90)) for k in range(80)), f"rare{i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = langid.fit_dictionaries(docs)
     assert found.keys() == {g for _, _, g in rows}
