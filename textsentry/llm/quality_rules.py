@@ -26,8 +26,9 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖ
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _among(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are among ``chars``."""
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
 def measured(docs: DataFrame, *, keep: tuple[str | Column, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -35,32 +36,42 @@ def measured(docs: DataFrame, *, keep: tuple[str | Column, ...] = ("doc_id",), t
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words as the query
     contract defines them; besides n_lines (with a word), n_upper, n_shout
-    (exclamation marks) and n_punct (ASCII punctuation).
+    (exclamation marks) and n_punct (ASCII punctuation).  Windows of words are
+    compared by hashes, of 64 bits less those that number a text's words.
     """
     names = docs.select(*keep).columns
-    t, w, s, d, p = F.col("__t"), F.col("__w"), F.col("__s"), F.col("__d"), F.col("__p")
+    t, w, r, h, s, p = (F.col(f"__{c}") for c in "twrhsp")
     out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    out = out.withColumn("__w", F.filter(F.split(t, r"[ \t-\r]+"), lambda x: x != ""))
+    # a split at one character needs no pattern
+    out = out.withColumn("__w", F.array_remove(F.split(F.translate(t, SPACES[1:], " " * 5), " "), ""))
     out = out.withColumn("__l", F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
-    windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+    # what most characters are is counted nowhere: the rest is short
+    out = out.withColumn("__r", F.regexp_replace(t, "[a-z \n]+", ""))
     out = out.select(
         *names,
+        F.col("__w"),
         F.size("__w").cast("long").alias("n_words"),
-        _without(t, SPACES).cast("long").alias("word_chars"),
-        (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        _among(r, SYMBOLS).alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").cast("long").alias("n_lines"),
-        (F.length(t) - _without(t, _UPPER)).cast("long").alias("n_upper"),
-        (F.length(t) - _without(t, "!")).cast("long").alias("n_shout"),
-        (F.length(t) - _without(t, _PUNCT)).cast("long").alias("n_punct"),
-        F.sort_array(windows).alias("__s"),
+        _among(r, _UPPER).alias("n_upper"),
+        _among(r, "!").alias("n_shout"),
+        _among(r, _PUNCT).alias("n_punct"),
+        F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))).alias("__h"),
     )
-    same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
-    out = out.withColumn("__d", F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)))
-    out = out.withColumn("__p", F.sort_array(F.transform(d, lambda x: x["p"])))
-    steps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
-    out = out.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x))
-    return out.drop("__s", "__d", "__p")
+    # where a window repeats: its hash, less the top bits that its place takes, sorted as one number with the place
+    bits = F.ceil(F.log2(F.size(h) + 1)).cast("int")
+    place = (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("place")
+    packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
+    out = out.select(*[c for c in out.columns if c != "__w"], F.when(F.size(F.array_distinct("__h")) < F.size("__h"), packed).alias("__s"), bits.alias("__b"), place.alias("__m"))
+    key = lambda x: F.call_function("shiftright", x, F.col("__b"))
+    same = lambda x, i: F.coalesce(key(F.get(s, i)) == key(x), F.lit(False))
+    places = F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x.bitwiseAND(F.col("__m")))
+    out = out.withColumn("__p", F.sort_array(places))
+    steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
+    out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))
+    return out.drop("__h", "__s", "__b", "__m", "__p")
 
 
 def base_failed() -> Column:
