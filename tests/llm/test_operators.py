@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import statistics
@@ -330,6 +331,21 @@ def test_kneser_ney(spark):
         assert r.score == pytest.approx(sum(math.log10(p(u, x)) for u, x in zip(["<s>", *w], w)))
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_few_files_are_mapped_at_a_time(spark, most):
+    docs = spark.createDataFrame([(i, prose(200, i)) for i in range(20)], "doc_id long, text string")
+    model = kneser_ney.fit(docs, bucket_bytes=500)
+    assert model.bits >= 4
+    every, few = kneser_ney.Reader(model), kneser_ney.Reader(model, most)
+    words = np.concatenate([np.fromfile(f"{model.path}/word-{i}", np.uint64) for i in range(1 << model.bits) if os.path.exists(f"{model.path}/word-{i}")])
+    rng = np.random.default_rng(1)
+    hashes = rng.permutation(np.concatenate((words, words[:50] + np.uint64(1))))
+    (n, c), (number, count) = every.numbers(hashes), few.numbers(hashes)
+    assert (n == number).all() and (c == count).all() and int(c.sum()) == model.tokens
+    p = every.probabilities(np.roll(number, 1), number)
+    assert (p == few.probabilities(np.roll(number, 1), number)).all() and len(few.maps.open) <= most < len(every.maps.open)
+
+
 LETTERS = {"en": "the of and tion ing er re th", "fr": "le la que é eau ou ment tre", "de": "der die und sch ung keit ei ch"}
 
 

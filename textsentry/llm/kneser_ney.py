@@ -11,8 +11,9 @@ start mark.  Training takes two passes and keeps nothing unbounded anywhere:
    of pairs with counts.  Context sums and continuation counts go on to ranges
    of word numbers and are written as dense arrays.
 
-The number of buckets follows the size of the input.  Scoring maps the files
-and looks up all tokens of a block of texts at once, in sorted order.
+The number of buckets follows the size of the input; that of ranges is 2**14 at
+most.  Scoring maps the files that a block of texts asks for, a bounded number
+at a time, and looks up all tokens of the block at once, in sorted order.
 
 The files lie in the folder of ``spark.checkpoint.dir``, which must be
 reachable as a path by all executors; they stay until that folder is cleared.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -79,11 +81,21 @@ def _write(path: str, name: str, array: np.ndarray) -> None:
     os.replace(temporary, f"{path}/{name}")
 
 
-def _map(path: str, name: str, kind: type) -> np.ndarray:
-    full = f"{path}/{name}"
-    if not os.path.exists(full) or not os.path.getsize(full):
-        return np.zeros(0, kind)
-    return np.memmap(full, kind, "r")
+class _Maps:
+    """Files of a model mapped into memory when asked for, at most ``most`` at a time."""
+
+    def __init__(self, path: str, most: int = 1024):
+        self.path, self.most = path, most
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def __call__(self, name: str, kind: type) -> np.ndarray:
+        if name not in self.open:
+            full = f"{self.path}/{name}"
+            self.open[name] = np.memmap(full, kind, "r") if os.path.exists(full) and os.path.getsize(full) else np.zeros(0, kind)
+            if len(self.open) > self.most:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
+        return self.open[name]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -127,57 +139,45 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 class Reader:
-    """The mapped files of a model."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        n = 1 << model.bits
-        self.words = [_map(model.path, f"word-{i}", np.uint64) for i in range(n)]
-        self.counts = [_map(model.path, f"word-count-{i}", np.int64) for i in range(n)]
-        self.pairs: list[np.ndarray] = []
-
-    def open_pairs(self) -> None:
-        n, path = 1 << self.model.bits, self.model.path
-        self.pairs = [_map(path, f"pair-{i}", np.uint64) for i in range(n)]
-        self.pair_counts = [_map(path, f"pair-count-{i}", np.int64) for i in range(n)]
-        ranges = self.model.vocabulary // RANGE + 1
-        self.stats = {s: [_map(path, f"{s}-{i}", np.int64) for i in range(ranges)] for s in _STATS}
+    """Lookups in the mapped files of a model, in the order of the keys, so that a file is asked for once a block."""
+
+    def __init__(self, model: Model, most: int = 1024):
+        self.model, self.maps = model, _Maps(model.path, most)
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, or the size of the vocabulary if unknown; count) of each word hash."""
         distinct, back = np.unique(hashes, return_inverse=True)
         number = np.full(len(distinct), self.model.vocabulary, np.int64)
         count = np.zeros(len(distinct), np.int64)
-        border = np.searchsorted(distinct, np.arange(1, 1 << self.model.bits, dtype=np.uint64) << np.uint64(64 - self.model.bits))
-        for i, (a, b) in enumerate(zip([0, *border], [*border, len(distinct)])):
-            if a < b and len(self.words[i]):
-                at = np.minimum(np.searchsorted(self.words[i], distinct[a:b]), len(self.words[i]) - 1)
-                hit = self.words[i][at] == distinct[a:b]
+        for i, a, b in _runs(distinct >> np.uint64(64 - self.model.bits)):
+            words = self.maps(f"word-{i}", np.uint64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, distinct[a:b]), len(words) - 1)
+                hit = words[at] == distinct[a:b]
                 number[a:b] = np.where(hit, at + self.model.bases[i], number[a:b])
-                count[a:b] = np.where(hit, self.counts[i][at], 0)
+                count[a:b] = np.where(hit, self.maps(f"word-count-{i}", np.int64)[at], 0)
         return number[back], count[back]
 
     def pair_count(self, keys: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(keys, return_inverse=True)
         bucket = _bucket(distinct, self.model.bits)
         order = np.argsort(bucket, kind="stable")
-        border = np.searchsorted(bucket[order], np.arange((1 << self.model.bits) + 1))
         count = np.zeros(len(distinct), np.int64)
-        for i, (a, b) in enumerate(zip(border[:-1], border[1:])):
-            if a < b and len(self.pairs[i]):
-                mine = order[a:b]
-                at = np.minimum(np.searchsorted(self.pairs[i], distinct[mine]), len(self.pairs[i]) - 1)
-                count[mine] = np.where(self.pairs[i][at] == distinct[mine], self.pair_counts[i][at], 0)
+        for i, a, b in _runs(bucket[order]):
+            pairs, mine = self.maps(f"pair-{i}", np.uint64), order[a:b]
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, distinct[mine]), len(pairs) - 1)
+                count[mine] = np.where(pairs[at] == distinct[mine], self.maps(f"pair-count-{i}", np.int64)[at], 0)
         return count[back]
 
     def stat(self, name: str, numbers: np.ndarray) -> np.ndarray:
         """A dense statistic of each number; 0 beyond the arrays."""
         distinct, back = np.unique(numbers, return_inverse=True)
         out = np.zeros(len(distinct), np.int64)
-        border = np.searchsorted(distinct, np.arange(0, (len(self.stats[name]) + 1) * RANGE, RANGE))
-        for i, (a, b) in enumerate(zip(border[:-1], border[1:])):
-            if a < b and len(self.stats[name][i]):
-                out[a:b] = self.stats[name][i][distinct[a:b] - i * RANGE]
+        for i, a, b in _runs(distinct // RANGE):
+            values = self.maps(f"{name}-{i}", np.int64)
+            if len(values):
+                out[a:b] = values[distinct[a:b] - i * RANGE]
         return out[back]
 
     def probabilities(self, before: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -193,6 +193,13 @@ class Reader:
         return np.where(total > 0, _kept(count, m.pair_discounts) / seen + weight / seen * low, low)
 
 
+def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, first place, place behind the last) of each run of equal keys."""
+    cut = np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(sorted_keys)]) if len(sorted_keys) else ():
+        yield int(sorted_keys[a]), a, b
+
+
 def _kept(count: np.ndarray, discount: tuple[float, float, float]) -> np.ndarray:
     """Counts less their discounts."""
     return count - np.array([0.0, *discount])[np.minimum(count, 3)]
@@ -328,7 +335,11 @@ def fit(docs: DataFrame, *, text: str = "text", bucket_bytes: int = 32 << 20) ->
 
 
 def scored(docs: DataFrame, model: Model, *, keep: tuple[str | Column, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity, over whole texts."""
+    """The ``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity, over whole texts.
+
+    A null or empty text has its end mark as the only token.  Without training
+    texts all tokens are unknown and equally likely.  Equal texts score alike.
+    """
     extra = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "perplexity": "double"}
     names = [*docs.select(*keep).columns, *extra]
     schema = docs.select(*keep).schema
@@ -337,7 +348,6 @@ def scored(docs: DataFrame, model: Model, *, keep: tuple[str | Column, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        reader.open_pairs()
         scale = np.log10(model.tokens + model.vocabulary + 1)
         for batch in batches:
             off, data = raw(batch.column(batch.num_columns - 1))
