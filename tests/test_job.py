@@ -4,7 +4,7 @@ from textsentry import job
 def test_policies_command(tmp_path, capsys):
     (tmp_path / "p.yml").write_text("name: p\nrules: [{name: a, detector_type: pii, chain: [z]}]")
     assert job.main(["policies", str(tmp_path / "p.yml")]) == 1
-    assert "does not exist" in capsys.readouterr().out
+    assert "no rule z" in capsys.readouterr().out
     (tmp_path / "q.yml").write_text("name: p")
     assert job.main(["policies", str(tmp_path / "q.yml")]) == 0
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textsentry import sql
 from textsentry.api import Engine, scan_json
 from textsentry.plans.compiler import Compiler
-from textsentry.plans.model import Policy, PolicyLoadError, Rule, load_directory, load_file, merge, parse, problems
+from textsentry.plans.model import Issue, Policy, PolicyLoadError, Rule, load_directory, load_file, merge, parse, problems
 from textsentry.sources import text as io
 from textsentry.types import detection, no_detections
 
@@ -31,7 +31,7 @@ def scanned(spark, texts, policies, **detectors):
 def test_parse():
     p = parse(GOOD)
     assert (p.version, p.default_action, [r.name for r in p.enabled_rules], p.rule("b").enabled) == ("1.0.0", "allow", ["a"], False)
-    assert problems(p) == ["Rule 'a' chains to 'b' which is disabled."]
+    assert problems(p) == [Issue("disabled link", "a", "b")]
 
 
 @pytest.mark.parametrize("text", ["- a", "name: [", "rules: []", "name: p\nextra: 1", "name: p\nrules: [{name: a}]", "name: p\nrules: [{name: a, detector_type: odd}]", "name: p\ndefault_action: shout", "name: p\nrules: [3]"])
@@ -52,8 +52,9 @@ def test_files(tmp_path):
 
 def test_problems():
     rules = [Rule("a", "pii", chain=["a", "z"]), Rule("a", "pii")]
-    assert len(problems(Policy("p", rules=rules))) == 3
-    assert problems(Policy("p", rules=[Rule("a", "pii", enabled=False)])) == ["Policy has rules but none are enabled."]
+    assert problems(Policy("p", rules=rules)) == [Issue("repeated name", "a", 2), Issue("unknown link", "a", "z"), Issue("own link", "a")]
+    assert problems(Policy("p", rules=[Rule("a", "pii", enabled=False)])) == [Issue("all disabled")]
+    assert str(Issue("repeated name", "a", 2)) == "2 rules are named a"
 
 
 def test_merge():

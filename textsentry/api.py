@@ -13,7 +13,7 @@ from textsentry.catalog import injection, pii
 from textsentry.functions.text import text_of
 from textsentry.operators.injection import InjectionDetector
 from textsentry.operators.redact import redact_pii
-from textsentry.plans.compiler import Compiler, Detector
+from textsentry.plans.compiler import Compiler, Detector, RowFunction
 from textsentry.plans.model import BUNDLED, Policy, load_directory, load_file, problems
 from textsentry.types import SENSITIVITIES, STRATEGIES, chosen
 
@@ -47,6 +47,10 @@ class Engine:
     def register_detector(self, detector_type: str, detector: Detector) -> None:
         self.compiler.register(detector_type, detector)
 
+    def register_function(self, detector_type: str, function: RowFunction) -> None:
+        """See :meth:`Compiler.register_function`."""
+        self.compiler.register_function(detector_type, function)
+
     def scan(self, df: DataFrame, text: str = "text", into: str = "scan") -> DataFrame:
         return self.compiler.scan(df, self.policies, text, into)
 
@@ -70,6 +74,16 @@ def pattern_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, position int, name string, kind string, severity string, weight double, regex string")
 
 
+def scan_response(scan: str = "scan", metadata: Column | None = None) -> Column:
+    """The scan as one JSON string as a service answers: detections with seven keys, violations with five, metadata."""
+    s = F.col(scan)
+    picked = lambda name, keys: F.transform(s[name], lambda x: F.struct(*[x[k].alias(k) for k in keys])).alias(name)
+    found = picked("detections", ("entity_type", "text", "start", "end", "confidence", "detector", "severity"))
+    violations = picked("policy_violations", ("rule_name", "policy_name", "severity", "action", "message"))
+    extra = F.create_map().cast("map<string,string>") if metadata is None else metadata
+    return F.to_json(F.struct(s["is_safe"].alias("is_safe"), s["action"].alias("action"), found, violations, extra.alias("metadata")))
+
+
 def scan_json(scan: str = "scan") -> Column:
     """The scan as one JSON string: is_safe, action, detections and violations."""
     s = F.col(scan)

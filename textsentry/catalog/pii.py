@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 
 @dataclass(frozen=True)
 class PIIPattern:
@@ -12,7 +15,7 @@ class PIIPattern:
     regex: str
     severity: str
     confidence: float
-    validator: str | None = None
+    validator: str | Callable[[Column], Column] | None = None
     flags: str = ""
     description: str = ""
 

@@ -58,23 +58,71 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.size(words(text)), F.lit(1))
 
 
+#: Elements in a block of :func:`before`, and characters in one of :func:`blocks`.
+_RUN, _BLOCK = 100, 1024
+
+
+def before(values: Column, add: Callable[[Column, Column], Column], zero: Column, kind: str) -> Column:
+    """For each element what ``add`` (associative, ``zero`` being neutral) makes of all before it.
+
+    A fold that gathers an array copies it at every step.  Here blocks are
+    added up, then the blocks before each, then the elements before each in
+    its block.
+    """
+
+    def run(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda b: F.slice(v, b * _RUN + 1, F.lit(_RUN)))
+
+        def heads(c: Column) -> Column:
+            whole = F.transform(c, lambda x: F.aggregate(x, zero, add))
+            return let(whole, lambda w: F.zip_with(c, F.transform(w, lambda _, b: F.aggregate(F.slice(w, F.lit(1), b), zero, add)), lambda x, h: F.transform(x, lambda _, i: F.aggregate(F.slice(x, F.lit(1), i), h, add))))
+
+        return F.flatten(let(cut, heads))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def clusters(found: Column) -> Column:
+    """Spans sorted by start, in runs that do not touch each other's characters."""
+
+    def cut(f: Column) -> Column:
+        reach = before(F.transform(f, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0), "int")
+        fresh = let(reach, lambda r: F.filter(F.transform(f, lambda x, i: F.when(x["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
+        return let(fresh, lambda c: F.transform(c, lambda a, k: F.slice(f, a + 1, F.coalesce(F.get(c, k + 1), F.size(f)) - a)))
+
+    return let(found, cut)
+
+
+def blocks(text: Column) -> Column:
+    """``text`` in blocks of equal size, from which :func:`piece` takes parts without counting from the first character on."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
+
+
+def piece(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of the text that :func:`blocks` cut."""
+    first = F.floor(start / _BLOCK).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, start - first * _BLOCK + 1, end - start)).otherwise("")
+
+
 def spans(text: Column, pattern: str, flags: str = "") -> Column:
     """All matches with their half-open code-point offsets.
 
     The text between the matches and the matches' own lengths give the
-    offsets.  ``pattern`` must not match the empty string.  Texts without a
-    match, the usual case, cost one search.
+    offsets, as a running sum.  ``pattern`` must not match the empty string.
+    Texts without a match, the usual case, cost one search.
     """
     full = rx(pattern, flags)
-    add = lambda n, x: n + F.length(x)
     parts = F.struct(F.split(text, full, -1).alias("between"), F.regexp_extract_all(text, F.lit(full), 0).alias("hits"))
 
     def all_spans(p: Column) -> Column:
-        def span(hit: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(p["between"], 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(p["hits"], F.lit(1), i), F.lit(0), add)
+        sizes = F.transform(p["hits"], lambda hit, i: F.length(F.get(p["between"], i)) + F.length(hit))
+
+        def span(hit: Column, i: Column, at: Column) -> Column:
+            start = F.get(at, i) + F.length(F.get(p["between"], i))
             return F.struct(hit.alias("text"), start.alias("start"), (start + F.length(hit)).alias("end"))
 
-        return F.transform(p["hits"], span)
+        return let(before(sizes, lambda a, x: a + x, F.lit(0), "int"), lambda at: F.transform(p["hits"], lambda hit, i: span(hit, i, at)))
 
     return F.when(text.rlike(full), let(parts, all_spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 

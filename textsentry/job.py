@@ -29,7 +29,7 @@ def main(args: list[str] | None = None) -> int:
     a = parser.parse_args(args)
     if a.command == "policies":
         try:
-            found = problems(load_file(a.path))
+            found = list(map(str, problems(load_file(a.path))))
         except PolicyLoadError as e:
             found = [str(e)]
         print("\n".join(found) or "valid")

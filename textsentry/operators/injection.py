@@ -18,10 +18,18 @@ class InjectionDetector:
     def __init__(self, sensitivity: str = "medium", patterns: Iterable[InjectionPattern] | None = None, semantic_weight: float = 0.3):
         if not 0 <= semantic_weight <= 1:
             raise ValueError("semantic_weight must lie in [0, 1]")
-        self.sensitivity = chosen(sensitivity, SENSITIVITIES, "sensitivity")
+        self.sensitivity = sensitivity
         self.patterns = list(patterns or catalog.PATTERNS)
         self.semantic_weight = semantic_weight
 
+    @property
+    def sensitivity(self) -> str:
+        return self._sensitivity
+
+    @sensitivity.setter
+    def sensitivity(self, value: str) -> None:
+        self._sensitivity = chosen(value, SENSITIVITIES, "sensitivity")
+
     @property
     def threshold(self) -> float:
         return SENSITIVITIES[self.sensitivity]
@@ -75,7 +83,7 @@ class InjectionDetector:
         )
 
     def detect(self, text: Column) -> Column:
-        """The score with severity, matches, semantic scores and their signals, and what was matched."""
+        """The score with severity, matches, semantic scores and their signals, what was matched, and the reason if nothing was looked at."""
         text = text_of(text)
         parts = {"score": self.score(text), "found": self.matches(text), "semantic": semantic_scores(text), "severity": self.severity(text), "signals": signals(text), "blank": blank(text)}
         return let(F.struct(*[c.alias(k) for k, c in parts.items()]), self._result)
@@ -95,6 +103,7 @@ class InjectionDetector:
             F.size(names).alias("unique_patterns_matched"),
             names.alias("patterns_matched"),
             F.array_sort(F.array_distinct(F.transform(found, lambda m: m["category"]))).alias("categories_detected"),
+            F.when(zero, "empty_input").alias("reason"),
         )
 
 
@@ -135,6 +144,7 @@ def semantic_scores(text: Column) -> Column:
 def _unrounded(c: Column) -> Column:
     when = lambda c, v: F.when(c, v).otherwise(0.0)
     cap = lambda c, most=1.0: F.least(c, F.lit(most))
+    # fixed values: weights and caps
     scores = {
         "imperative": cap(when(c["count"] > 0, cap(c["count"] / c["total"] * 1.5, 0.5)) + when(c["directives"] > 0, cap(c["directives"] * 0.15, 0.3)) + when(c["addressed"], 0.2) + when(c["urgent"], 0.1)),
         "roleplay": cap(when(c["roles"] > 0, cap(c["roles"] * 0.35, 0.7)) + when(c["addressed"] & (c["roles"] > 0), 0.3)),
@@ -154,6 +164,7 @@ def signals(text: Column) -> Column:
 
 
 def _signals(c: Column) -> Column:
+    # fixed values: the sentences of the signals
     some = lambda k, form: F.when(c[k] > 0, F.format_string(form, c[k]))
     found = [
         F.when(c["count"] > 0, F.format_string("Imperative verb ratio: %d/%d sentences", c["count"], c["total"])),

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textsentry.catalog.pii import PATTERNS, PIIPattern
-from textsentry.functions.text import joined, let, spans, text_of
+from textsentry.functions.text import clusters, joined, let, spans, text_of
 from textsentry.functions.validators import VALIDATORS
 from textsentry.types import DETECTION
 
@@ -57,7 +57,8 @@ def raw(text: Column, p: PIIPattern, number: int) -> Column:
     """Detections of one pattern, led by what they are sorted by."""
     found = spans(text, p.regex, p.flags)
     if p.validator:
-        found = F.filter(found, lambda s: VALIDATORS[p.validator](s["text"]))
+        good = VALIDATORS[p.validator] if isinstance(p.validator, str) else p.validator
+        found = F.filter(found, lambda s: F.coalesce(good(s["text"]), F.lit(False)))
     return F.transform(found, lambda s: _keyed(F.lit(p.entity_type), s["text"], s["start"], s["end"], F.lit(p.confidence), F.lit("regex"), F.lit(p.severity), F.lit(p.name), F.lit(number)))
 
 
@@ -71,14 +72,21 @@ def keyed(detections: Column) -> Column:
 
 
 def without_overlaps(found: Column) -> Column:
-    """Walks through the spans by start; one that overlaps the last kept replaces it only if it is more confident."""
+    """Walks through the spans by start; one that overlaps the last kept replaces it only if it is more confident.
+
+    The walk goes through runs of spans that touch each other; runs are
+    independent.
+    """
 
     def step(kept: Column, x: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)
         more = F.when(x["confidence"] > last["confidence"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))).otherwise(kept)
         return F.when((F.size(kept) > 0) & (x["start"] < last["end"]), more).otherwise(F.concat(kept, F.array(x)))
 
-    kept = let(found, lambda f: F.when(F.size(f) > 1, F.aggregate(F.array_sort(f), F.slice(f, 1, 0), step)).otherwise(f))
+    def walk(f: Column) -> Column:
+        return F.flatten(F.transform(clusters(F.array_sort(f)), lambda c: F.when(F.size(c) > 1, F.aggregate(c, F.slice(c, 1, 0), step)).otherwise(c)))
+
+    kept = let(found, lambda f: F.when(F.size(f) > 1, walk(f)).otherwise(f))
     return F.transform(kept, _plain)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textsentry.functions.text import let, text_of
+from textsentry.functions.text import blocks, clusters, let, piece, text_of
 from textsentry.operators.pii import PIIDetector
 from textsentry.types import REDACTION, STRATEGIES, chosen
 
@@ -44,24 +44,33 @@ class Redactor:
         return let(F.struct(text_of(text).alias("text"), detections.alias("found")), lambda x: self._redacted(x["text"], x["found"], strategy))
 
     def _redacted(self, text: Column, detections: Column, strategy: str | None) -> Column:
-        order = F.reverse(F.array_sort(F.transform(detections, lambda d, i: F.struct(d["start"].alias("start"), (d["end"] - d["start"]).alias("size"), (-i).alias("number"), d.alias("d")))))
+        order = F.array_sort(F.transform(detections, lambda d, i: F.struct(d["start"].alias("start"), (d["end"] - d["start"]).alias("size"), (-i).alias("number"), d["end"].alias("end"), d.alias("d"))))
 
         def detail(d: Column) -> Column:
             how = self._strategy(d["entity_type"], strategy)
             return F.struct(d["entity_type"].alias("entity_type"), d["text"].alias("original"), self._replacement(d["text"], d["entity_type"], how).alias("replacement"), d["start"].alias("start"), d["end"].alias("end"), how.alias("strategy")).cast(REDACTION)
 
-        state = F.struct(text.alias("text"), F.lit(2147483647).alias("last"), F.array().cast(f"array<{REDACTION}>").alias("done"))
+        none = F.array().cast(f"array<{REDACTION}>")
+        state = F.struct(F.lit(2147483647).alias("last"), none.alias("done"))
 
         def step(s: Column, x: Column) -> Column:
-            def put(d: Column) -> Column:
-                new = F.concat(F.substring(s["text"], F.lit(1), d["start"]), d["replacement"], F.substring(s["text"], d["end"] + 1, F.length(s["text"])))
-                return F.struct(new.alias("text"), d["start"].alias("last"), F.concat(F.array(d), s["done"]).alias("done"))
-
-            return F.when(x["d"]["end"] > s["last"], s).otherwise(let(detail(x["d"]), put))
-
-        done = let(F.aggregate(order, state, step), lambda s: F.struct(text.alias("original_text"), s["text"].alias("redacted_text"), s["done"].alias("redactions")))
-        plain = F.struct(text.alias("original_text"), text.alias("redacted_text"), F.array().cast(f"array<{REDACTION}>").alias("redactions"))
-        return F.when(F.size(detections) > 0, done).otherwise(plain)
+            put = F.struct(x["start"].alias("last"), F.concat(F.array(detail(x["d"])), s["done"]).alias("done"))
+            return F.when(x["end"] > s["last"], s).otherwise(put)
+
+        def of(run: Column) -> Column:
+            return F.when(F.size(run) == 1, F.transform(run, lambda x: detail(x["d"]))).otherwise(F.aggregate(F.reverse(run), state, step)["done"])
+
+        def whole(p: Column) -> Column:
+            parts, done, size = p["blocks"], p["done"], F.size(p["done"])
+            # what stands before each replacement, and what follows the last
+            put = F.transform(done, lambda d, i: F.concat(piece(parts, F.when(i == 0, 0).otherwise(F.get(done, i - 1)["end"]), d["start"]), d["replacement"]))
+            rest = F.when(size > 0, piece(parts, F.get(done, size - 1)["end"], p["size"])).otherwise(text)
+            return F.struct(text.alias("original_text"), F.concat(F.array_join(put, ""), rest).alias("redacted_text"), done.alias("redactions"))
+
+        done = F.flatten(F.transform(clusters(order), of))
+        some = let(F.struct(blocks(text).alias("blocks"), done.alias("done"), F.length(text).alias("size")), whole)
+        plain = F.struct(text.alias("original_text"), text.alias("redacted_text"), none.alias("redactions"))
+        return F.when(F.size(detections) > 0, some).otherwise(plain)
 
 
 def redact_pii(text: Column, strategy: str = "replace") -> Column:

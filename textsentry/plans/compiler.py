@@ -7,6 +7,7 @@ import logging
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +19,25 @@ from textsentry.operators.sentiment import SentimentAnalyzer
 from textsentry.operators.topic import TopicClassifier
 from textsentry.operators.toxicity import ToxicityClassifier
 from textsentry.plans.model import Policy, Rule
-from textsentry.types import ACTIONS, VIOLATION, detection, label, no_detections
+from textsentry.types import ACTIONS, DETECTION, VIOLATION, detection, label, no_detections
 
 log = logging.getLogger(__name__)
 Detector = Callable[[Column, dict[str, Any]], Column]
+RowFunction = Callable[[str, dict[str, Any]], list[dict[str, Any]]]
+_KEYS = [f.split(":")[0] for f in DETECTION[7:-1].split(",")]
 
 #: What the names in policies stand for, if aliases are asked for.
 ALIASES = {"EMAIL": "EMAIL_ADDRESS", "PHONE": "PHONE_NUMBER", "PERSON": "PERSON_NAME"}
 
 
+def _isolated(function: RowFunction, text: str, config: dict[str, Any], name: str) -> list[dict[str, Any]]:
+    try:
+        return [{k: d.get(k) for k in _KEYS} for d in function(text, config)]
+    except Exception:
+        log.exception("detector %s failed at a text", name)
+        return []
+
+
 def _when(fires: Column, found: Column) -> Column:
     return F.when(fires, F.array(found)).otherwise(no_detections())
 
@@ -59,6 +70,22 @@ class Compiler:
         """A detector takes the text column and a rule's config and returns an array of detections; it replaces an earlier or built-in one."""
         self.custom[detector_type] = detector
 
+    def register_function(self, detector_type: str, function: RowFunction) -> None:
+        """A Python function that takes a text and a rule's config and returns detections as dicts; keys left out are null.
+
+        It runs in Arrow batches.  A text at which it fails has no detections;
+        the failure is logged by the worker and stops neither the other texts
+        nor the other rules.
+        """
+
+        def detect(text: Column, config: dict[str, Any]) -> Column:
+            def each(texts: pd.Series) -> pd.Series:
+                return pd.Series([_isolated(function, t, config, detector_type) for t in texts])
+
+            return F.pandas_udf(each, f"array<{DETECTION}>")(text)
+
+        self.register(detector_type, detect)
+
     def has(self, detector_type: str) -> bool:
         return detector_type in self.custom or detector_type in self.builtin
 
@@ -155,10 +182,9 @@ class Compiler:
 
         entries = [entry(r, F.lit(i)) for i, r in enumerate(p.enabled_rules)]
         parents: dict[str, list[tuple[int, Rule]]] = {}
-        n = len(p.enabled_rules)
-        for i, r in enumerate(p.enabled_rules):
-            for j, c in enumerate(r.chain):
-                parents.setdefault(c, []).append((n + i * 1000 + j, r))
+        links = [(r, c) for r in p.enabled_rules for c in r.chain]
+        for k, (r, c) in enumerate(links, len(p.enabled_rules)):
+            parents.setdefault(c, []).append((k, r))
         for name, after in parents.items():
             chained = p.rule(name)
             if chained is None or not chained.enabled:
