@@ -83,6 +83,36 @@ def test_ngram_join(spark, small):
     assert kept == set(want.values())
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_members_that_can_link_with_none_leave(spark, percent):
+    """All pairs that pass the filters are kept; a group without such a pair is empty."""
+    rng, rows = random.Random(percent), []
+    for g in range(30):
+        same = g % 3 == 0
+        for i in range(rng.randrange(2, 12)):
+            n = 100 if same else rng.randrange(60, 140)
+            rows.append((g, 1000 * g + i, n, 100 - percent if same else rng.randrange(n * (100 - percent) // 100), 1000 * g + i))
+    got = {(r.g, r.id) for r in ngram_join._able(spark.createDataFrame(rows, "g long, id long, n long, pos long, label long"), percent).collect()}
+
+    def fits(a, b):
+        (n, p), (m, q) = a[2:4], b[2:4]
+        return 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * min(n - p, m - q) >= percent * (n + m)
+
+    for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0] and fits(a, b):
+            assert a[:2] in got and b[:2] in got
+    assert not any(g % 3 == 0 for g, _ in got) and got
+
+
+def test_a_template_that_many_unlinked_texts_share(spark):
+    template = prose(160, 1, 100_000).split()
+    texts = [" ".join([*template[:80], *(f"own{i}x{k}" for k in range(24)), *template[80:]]) for i in range(120)]
+    texts += [t.replace("own7x3", "other") for t in texts[7:8]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(docs).collect()}
+    assert got == grouped({i: shingles(t) for i, t in enumerate(texts)}) and got[120] == 7
+
+
 @pytest.mark.parametrize("percent", [50, 80])
 def test_linked(percent):
     rng = np.random.default_rng(3)

@@ -12,8 +12,11 @@ Two texts link when their sets of distinct n-word shingles share at least
   members it is; a larger one is compared to a few members drawn as leaders,
   components are formed, and only members that stand in different components
   are compared to ever more leaders (four, then eight times as many), until
-  no group holds two components with a pair left to compare.  Components are
-  exact: a pair is skipped only if already joined.
+  no group holds two components with a pair left to compare.  Members whose
+  length and place rule out all others of their group leave it first, so that
+  a template which many texts share without linking is not gone through pair
+  by pair.  Components are exact: a pair is skipped only if already joined or
+  ruled out.
 * Each pair is verified once, on the whole sets; a suffix filter ends hopeless
   comparisons early.
 
@@ -156,6 +159,21 @@ def _candidates(entries: DataFrame, leaders: int, small: int, percent: int, seed
     return both.where(fits).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
+def _able(entries: DataFrame, percent: int) -> DataFrame:
+    """``entries`` of groups that stand in different components, without members that can link with none of their group.
+
+    A member's place bounds the size of those it links with from above, its
+    size from below.  What is left over is looked at a second time.
+    """
+    reach = F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")
+    for _ in range(2):
+        entries = entries.withColumns({"__reach": F.least(reach, F.floor(100 * F.col("n") / percent)), "__least": F.ceil(percent * F.col("n") / 100)})
+        group = entries.groupBy("g").agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"), F.min("n").alias("__min"), F.max("n").alias("__max"), F.max("__reach").alias("__far"))
+        entries = entries.hint("merge").join(group.where("__lo < __hi").drop("__lo", "__hi"), "g").where("__min <= __reach and __max >= __least and __far >= n")
+        entries = entries.drop("__reach", "__least", "__min", "__max", "__far")
+    return entries
+
+
 def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
     return entries.drop("label").join(found, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
 
@@ -204,8 +222,7 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
         if largest <= max(small, leaders):
             break
         large = _labelled(open_groups.where(F.col("members") > max(small, leaders)), found)
-        mixed = large.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-        open_groups, before = scope.written(large.join(mixed, "g"), "entries"), open_groups
+        open_groups, before = scope.written(_able(large, percent), "entries"), open_groups
         scope.drop(before)
         largest = open_groups.agg(F.max("members")).first()[0] or 0
         if not largest:
