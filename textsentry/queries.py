@@ -407,16 +407,16 @@ def _hits(p: injection.InjectionPattern) -> tuple[str, str]:
     return f"len(regexp_extract_all(t, {r}))", f"(CASE WHEN regexp_matches(t, {r}) THEN length(string_split_regex(t, {r})[1]) END)"
 
 
-@query(f"SELECT conv_id, turn, {', '.join(f'CAST({n} AS INTEGER) AS n_{p.name}, CAST({at} AS INTEGER) AS at_{p.name}' for p in injection.PATTERNS for n, at in [_hits(p)])} FROM {_TURNS}")
+@query(f"SELECT conv_id, turn, {', '.join(f'CAST({n} AS INTEGER) AS n_{p.name}, CAST(coalesce({at}, -1) AS INTEGER) AS at_{p.name}' for p in injection.PATTERNS for n, at in [_hits(p)])} FROM {_TURNS}")
 def injection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each of the 28 patterns is found in a turn, and where first."""
+    """How often each of the 28 patterns is found in a turn, and where first (-1: nowhere)."""
     out = turns(spark, sf_dir).select("conv_id", "turn", InjectionDetector().matches(F.col("text")).alias("m"))
 
     def own(name: str) -> Column:
         return F.filter("m", lambda m: m["pattern_name"] == name)
 
     counts = {f"n_{p.name}": F.size(own(p.name)) for p in injection.PATTERNS}
-    firsts = {f"at_{p.name}": F.array_min(F.transform(own(p.name), lambda m: m["start"])) for p in injection.PATTERNS}
+    firsts = {f"at_{p.name}": F.coalesce(F.array_min(F.transform(own(p.name), lambda m: m["start"])), F.lit(-1)) for p in injection.PATTERNS}
     return out.select("conv_id", "turn", *[c.alias(k) for k, c in (counts | firsts).items()])
 
 
