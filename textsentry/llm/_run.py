@@ -77,7 +77,7 @@ class Scope:
         self.drop(*self.paths)
 
 
-def release(df: DataFrame) -> None:
+def discard(df: DataFrame) -> None:
     """Delete the tables behind the result of an operator, once it has been read for the last time."""
     if scope := getattr(df, "_scope", None):
         scope.close()
