@@ -2,11 +2,12 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from textsentry.llm import decontaminate, mixing, suffix_dedup, toxicity
+from textsentry.llm import decontaminate, mixing, queries, suffix_dedup, toxicity
 from textsentry.llm._run import Scope
 
 from .conftest import prose
@@ -80,3 +81,45 @@ def test_anchors_of_data_longer_than_places_have_bits(monkeypatch):
     want = [i + int(np.argmin(top[i : i + 49])) for i in range(len(data) - 79)]
     assert np.repeat(anchor, hi - lo + 1).tolist() == want and (np.diff(anchor) != 0).all()
     assert (code == suffix_dedup.gram_hashes(data)[anchor]).all()
+
+
+def spoken(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark, tmp_path):
+    """Of 9000 labelled texts only six to learn from, as few as count, have a word; held-out texts with it are found."""
+    learned = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = {*learned[700::1100], *sorted({*range(9000)} - {*learned})[::500]}
+    assert len(bad & {*learned}) == 6 and len(bad) > 9
+    texts = [(i, spoken(12, i) + " zorblax" * (i in bad)) for i in range(9000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in bad)) for i in range(9000)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["op5_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == 9000 and {r.doc_id for r in got if r.predicted} == bad
+
+
+def test_toxicity_fit_is_train_on_tables(spark):
+    """Near copies, copies, repeated rows, null and empty texts, null keys and labels, hidden words and other scripts."""
+    rng, rows = random.Random(3), []
+    for i in range(700):
+        w = spoken(30, i % 500).split()
+        if i >= 500:
+            w[rng.randrange(30)] = "édité"
+        if i % 3 == 0:
+            w.insert(rng.randrange(30), rng.choice(["moron", "m0r0n", "i.d.i.o.t", "idiot", "IDIOOOT", "дурак"]))
+        rows.append((i, " ".join(w), int(i % 3 == 0 or i % 50 == 1)))
+    rows += rows[:40] + [(i, t, i % 2) for i, t in enumerate([None, "", " \n", "!", "a", "a b"] * 3, 900)] + [(901, "", 1), (901, "", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "moron")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, y in {(r[0], r[2]) for r in rows} | {(905, 0)}] + [(None, 1), (5000, 1), (7, None)], "doc_id long, toxic int")
+    marks = {905: {0}}
+    for k, _, y in rows:
+        marks.setdefault(k, set()).add(y)
+    known = sorted((k, y, t or "") for k, t, _ in rows for y in marks[k])
+    want = toxicity.train([r[2] for r in known], [r[1] for r in known])
+    got = toxicity.fit(docs.repartition(5), labels)
+    assert want.weights and got.weights == want.weights and got.bias == want.bias
+    assert got.model.keys.tolist() == want.model.keys.tolist() and got.model.run.tolist() == want.model.run.tolist() and got.model.size == want.model.size
+    nothing = toxicity.fit(docs, labels.where("doc_id < 0"))
+    assert not nothing.weights and nothing.bias == toxicity.train([], []).bias
